@@ -207,7 +207,7 @@ class _Join:
     def branch(self, big: DataFrame, level: int) -> DataFrame:
         """Rows of the next level: each node on its tree's token, one node in four on another tree's token too."""
         at = level * TREES * 4
-        slice_ = self.reps.select("rep", F.substring("tokens", at + 1, TREES * 4).alias("tok")).dropDuplicates(["rep", "tok"])
+        slice_ = self.reps.select("rep", F.substring("tokens", at + 1, TREES * 4).alias("tok"))
         other = F.pmod(F.col("tree") + 5, F.lit(TREES))
         first = F.xxhash64("node", F.lit(level), "tree", F.substring("tok", F.col("tree") * 4 + 1, F.lit(4)))
         second = F.xxhash64("node", F.lit(level), other, F.substring("tok", other * 4 + 1, F.lit(4)))
@@ -217,7 +217,7 @@ class _Join:
     def confirm(self, pairs: DataFrame) -> None:
         """Candidate pairs -> confirmed edges on full sets, merged into the components."""
         pairs = stored(self.apart(reduce(DataFrame.unionByName, pairs)).distinct(), "pairs")
-        tok = self.reps.dropDuplicates(["rep"])
+        tok = self.reps
         x = pairs.join(tok.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(tok.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
         cand = stored(x.mapInArrow(_agreement, "a long, b long, eq int"), "candidates")
         dropped(pairs)
