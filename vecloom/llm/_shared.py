@@ -15,9 +15,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of an Arrow batch while the session has Spark's own default (10,000): batches of texts stay a few MB.
+BATCH_ROWS = 1000
+_memo: dict = {"of": None, "entries": {}}
+
+
+def memo(name: str) -> dict:
+    """What a worker remembers between tasks. One operator's at a time: asking for another name forgets the rest."""
+    if _memo["of"] != name:
+        _memo["of"], _memo["entries"] = name, {}
+    return _memo["entries"]
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers import it wherever they run."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_vecloom_shipped", False):
         return
     top = Path(__file__).resolve().parent.parent

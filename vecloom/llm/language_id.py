@@ -21,11 +21,10 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ship, table, whole_row
+from ._shared import memo, ship, table, whole_row
 
 SAMPLE_DOCS, DICT_BYTES, WINDOW, SHORT, LEAST_MARGIN = 300, 48 << 10, 2048, 256, 0.002
 FILLER = bytes(512)
-_ready: dict = {}
 
 
 def fold_of(id_col, n: int):
@@ -75,11 +74,12 @@ def compressor(content: bytes) -> zs.ZstdCompressor:
 
 
 def _compressors(model: dict[str, bytes]):
+    kept = memo("languages")
     key = tuple((k, hash(v)) for k, v in model.items())
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = [(k, compressor(v)) for k, v in sorted(model.items())]
-    return _ready[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = [(k, compressor(v)) for k, v in sorted(model.items())]
+    return kept[key]
 
 
 def identify(text: str | None, model: dict[str, bytes]) -> tuple[str, float, float]:

@@ -34,16 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import dropped, lookup, ship, stored, table
+from ._shared import dropped, lookup, memo, ship, stored, table
 
 TREES, LEVELS, SMALL, CUT = 16, 6, 8, 0.6
 TOKENS = TREES * LEVELS
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _P = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _rng = np.random.Generator(np.random.PCG64(20_231))
 _A = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,15 +60,15 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64)
+    known = memo("shingle words")
     try:
-        h = np.array([_words[w] for w in words], np.uint64)
+        h = np.array([known[w] for w in words], np.uint64)
     except KeyError:
-        if len(_words) > REMEMBERED:
-            _words.clear()
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([_words[w] for w in words], np.uint64)
+        if len(known) > REMEMBERED:
+            known.clear()
+        own = {w: known.get(w) or xxhash.xxh3_64_intdigest(w) for w in words}
+        known.update((w, x) for w, x in own.items() if len(w) <= 64)
+        h = np.array([own[w] for w in words], np.uint64)
     n = len(h) - width + 1
     mixed = np.zeros(n, np.uint64)
     for i in range(width):

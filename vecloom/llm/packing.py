@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import lookup, ship, stored, table
+from ._shared import lookup, memo, ship, stored, table
 
 CAPACITY, END_ID = 2048, 0
 #: Pre-tokens a worker remembers the ids of (about 200 bytes each); it starts over when full, which costs time, not results.
@@ -37,33 +37,34 @@ REMEMBERED = 1_000_000
 # any other text goes through the tokenizer whole.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-©«-±¶-¸»¿-ÿ]")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
-_workers: dict = {}
 
 
 def _tokenizer(path: str):
-    if path not in _workers:
+    """(tokenizer, its remembered pre-tokens) of this worker."""
+    kept = memo(f"pack {path}")
+    if "tokenizer" not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {})
-    return _workers[path]
+        kept |= {"tokenizer": Tokenizer.from_file(path), "ids": {}}
+    return kept["tokenizer"], kept["ids"]
 
 
 def encode(text: str, path: str) -> bytes:
     """The tokenizer's ids (add_special_tokens=False) as little-endian unsigned 32-bit integers, through remembered
     pre-tokens where that is the same."""
-    tok, memo = _tokenizer(path)
+    tok, known = _tokenizer(path)
     if _OTHER.search(text) or "<|" in text:
         return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     words = _SPLIT.findall(text.lower())
-    found = list(map(memo.get, words))
+    found = list(map(known.get, words))
     if None in found:
         new = list(dict.fromkeys(w for w, ids in zip(words, found) if ids is None))
         made = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False))}
         found = [made[w] if ids is None else ids for w, ids in zip(words, found)]
-        if len(memo) + len(made) > REMEMBERED:
-            memo.clear()
-        memo.update((w, ids) for w, ids in made.items() if len(w) <= 64)
+        if len(known) + len(made) > REMEMBERED:
+            known.clear()
+        known.update((w, ids) for w, ids in made.items() if len(w) <= 64)
     return b"".join(found)
 
 

@@ -25,11 +25,10 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ship, table
+from ._shared import memo, ship, table
 from .language_id import fold_of
 
 TOXIC_DOCS, ORDINARY_DOCS, WINDOW_WORDS, THRESHOLD = 1500, 3000, 8, 0.7
-_ready: dict = {}
 
 
 def _words(text: str) -> list[str]:
@@ -86,11 +85,12 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
 
 
 def _pair(model: dict):
+    kept = memo("toxicity")
     key = (hash(model["toxic"]), hash(model["ordinary"]))
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = (_compressor(model["ordinary"]), _compressor(model["toxic"]))
-    return _ready[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = (_compressor(model["ordinary"]), _compressor(model["toxic"]))
+    return kept[key]
 
 
 def savings(text: str | None, model: dict) -> tuple[int, int, int]:
