@@ -20,10 +20,27 @@ BATCH_ROWS = 1000
 _memo: dict = {"of": None, "entries": {}}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as an idle worker's is counted too."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def memo(name: str) -> dict:
     """What a worker remembers between tasks. One operator's at a time: asking for another name forgets the rest."""
     if _memo["of"] != name:
+        held = _memo["of"] is not None
         _memo["of"], _memo["entries"] = name, {}
+        if held:
+            _give_back()
     return _memo["entries"]
 
 

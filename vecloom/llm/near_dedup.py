@@ -34,10 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import dropped, lookup, memo, ship, stored, table
+from . import _shared
+from ._shared import dropped, memo, ship, stored, table
 
 TREES, LEVELS, SMALL, CUT = 16, 6, 8, 0.6
 TOKENS = TREES * LEVELS
+#: This operator joins many tables in turn, so each is broadcast only while it is small; executors keep them for a while.
+MOST_BROADCAST = 40_000
 REMEMBERED = 300_000
 _P = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _rng = np.random.Generator(np.random.PCG64(20_231))
@@ -134,6 +137,10 @@ def _confirmer(width: int, percent: int):
     return run
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    return _shared.lookup(df, MOST_BROADCAST)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach. Alternating large and small stars, each stored."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")

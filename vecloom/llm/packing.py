@@ -32,7 +32,7 @@ from ._shared import lookup, memo, ship, stored, table
 
 CAPACITY, END_ID = 2048, 0
 #: Pre-tokens a worker remembers the ids of (about 200 bytes each); it starts over when full, which costs time, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 # Texts of these characters alone are cut into pre-tokens here (case and normal forms are settled char by char in them);
 # any other text goes through the tokenizer whole.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-©«-±¶-¸»¿-ÿ]")
