@@ -175,7 +175,8 @@ class _Join:
         self.features = stored(self.rows.mapInArrow(_featurer(width), "doc_id long, n_shingles long, sig binary, tokens binary"), "features")
         self.classes = stored(self.features.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
         reps = self.classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-        self.reps = self.features.where("sig is not null").join(lookup(stored(reps, "reps")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "tokens")
+        chosen = self.features.where("sig is not null").join(lookup(stored(reps, "reps")), "doc_id", "left_semi")
+        self.reps = stored(chosen.select(F.col("doc_id").alias("rep"), "tokens"), "tokens")  # read several times, joined once
         self.edges: list[DataFrame] = []
         self.comps: DataFrame | None = None
 
