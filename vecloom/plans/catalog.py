@@ -1,6 +1,266 @@
-"""The named queries of the library and their SQL."""
+"""The named queries of the library and the same in SQL. Searches take every vector whose id is divisible by 20 as a
+query against all rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import isa, metrics, ranking
+from ..operators import search as S
+from ..sources import corpora, index_store
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+K = 10
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _index(spark, d: str, rounding: str = "away") -> DataFrame:
+    return S.build_index(_t(spark, d, "embeddings"), "vec_id", "embedding", rounding)
+
+
+def _asked(index: DataFrame) -> DataFrame:
+    return index.where("id % 20 = 0").withColumnRenamed("id", "qid")
+
+
+def _floats(spark, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+_Q = """
+a AS (SELECT vec_id, embedding e, CAST(CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE) / 127 AS FLOAT) s FROM embeddings),
+i AS (SELECT vec_id, s, CAST(CASE WHEN s > 0 THEN 1.0 / CAST(s AS DOUBLE) ELSE 0 END AS FLOAT) inv, e FROM a),
+q AS (SELECT vec_id, s, list_transform(e, lambda x: greatest(-127, least(127, CAST(round(CAST(x * inv AS DOUBLE)) AS INTEGER)))) c FROM i),
+s AS (SELECT x.vec_id qid, y.vec_id id, CAST(list_inner_product(CAST(x.c AS DOUBLE[]), CAST(y.c AS DOUBLE[])) AS FLOAT) * x.s * y.s score FROM q x, q y WHERE x.vec_id % 20 = 0),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) rank, id, score FROM s)
+"""
+_EXACT = """
+ex AS (SELECT x.vec_id qid, y.vec_id id, list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) score FROM embeddings x, embeddings y WHERE x.vec_id % 20 = 0),
+er AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) rank, id, score FROM ex)
+"""
+
+
+@query(f"WITH {_Q} SELECT vec_id AS id, array_to_string(c, ',') AS codes, s AS scale FROM q")
+def vec_quantize_codes(spark, d):
+    return _index(spark, d).select("id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), "scale")
+
+
+@query(f"WITH {_Q} SELECT vec_id AS id, array_to_string(list_transform(e, lambda x: CAST(round_even(CAST(x * inv AS DOUBLE), 0) AS INTEGER)), ',') AS codes FROM i")
+def vec_quantize_even(spark, d):
+    return _index(spark, d, "even").select("id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+@query(f"WITH {_Q} SELECT count(*) FILTER (err > 1.0/254 + 1e-6) AS over_bound, count(*) AS n FROM (SELECT list_max(list_transform(list_zip(i.e, q.c), lambda p: abs(CAST(p[1] AS DOUBLE) - p[2] * CAST(i.s AS DOUBLE)))) err FROM i JOIN q USING (vec_id))")
+def vec_dequantize_error(spark, d):
+    x = _t(spark, d, "embeddings").select("vec_id", "embedding").join(_index(spark, d).withColumnRenamed("id", "vec_id"), "vec_id")
+    e = V.reconstruction_error(F.col("embedding"), F.col("codes"), F.col("scale"))
+    return x.select(e.alias("e")).agg(F.count(F.when(F.col("e") > 1 / 254 + 1e-6, 1)).alias("over_bound"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id AS id, round(list_max(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / greatest(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12), 6) AS top FROM embeddings")
+def vec_l2_normalize(spark, d):
+    return _floats(spark, d).select("id", F.round(F.array_max(V.l2_normalize(F.col("v"))), 6).alias("top"))
+
+
+@query("SELECT len(embedding) AS dim, CAST(ceil(len(embedding) / 16.0) * 16 AS INTEGER) AS dpad, CAST(ceil(len(embedding) / 16.0) * 16 + 4 AS INTEGER) AS bytes_per_vector, count(*) AS n, max(list_max(list_transform(embedding, lambda x: abs(x)))) AS max_abs FROM embeddings GROUP BY 1, 2, 3")
+def vec_dim_stats(spark, d):
+    v = _floats(spark, d).select(F.size("v").cast("long").alias("dim"), V.max_abs(F.col("v")).alias("m"))
+    return v.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("max_abs")).select("dim", V.pad_dim(F.col("dim")).alias("dpad"), V.bytes_per_vector(F.col("dim")).alias("bytes_per_vector"), "n", "max_abs")
+
+
+@query(f"WITH {_Q} SELECT qid, rank, id, score FROM r WHERE rank <= {K}")
+def vec_search_topk(spark, d):
+    index = _index(spark, d)
+    return S.search(index, _asked(index), K)
+
+
+@query(f"WITH {_EXACT} SELECT qid, rank, id, round(score, 6) AS score FROM er WHERE rank <= {K}")
+def vec_search_exact_topk(spark, d):
+    v = _floats(spark, d)
+    return S.search_exact(v, _asked(v), K).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_Q}, {_EXACT} SELECT count(*) / ({K} * (SELECT count(DISTINCT qid) FROM ex)) AS recall FROM r JOIN er USING (qid, id) WHERE r.rank <= {K} AND er.rank <= {K}")
+def vec_recall_at_10(spark, d):
+    return metrics.recall(vec_search_topk(spark, d), vec_search_exact_topk(spark, d), K)
+
+
+@query(f"WITH {_Q}, {_EXACT} SELECT qid, count(id) AS hits, count(id) / {K} AS share FROM (SELECT er.qid, r.id FROM er LEFT JOIN r ON er.qid = r.qid AND er.id = r.id AND r.rank <= {K} WHERE er.rank <= {K}) GROUP BY qid")
+def vec_agreement(spark, d):
+    return S.overlap(vec_search_exact_topk(spark, d), vec_search_topk(spark, d), K)
+
+
+_G = """
+g AS (SELECT CAST(max(list_max(list_transform(embedding, lambda x: abs(x)))) AS FLOAT) m FROM embeddings),
+gc AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(-127, least(127, CAST(round_even(CAST(CAST(CAST(x AS FLOAT) / m AS FLOAT) * CAST(127 AS FLOAT) AS DOUBLE), 0) AS INTEGER)))) c FROM embeddings, g),
+gs AS (SELECT x.vec_id qid, y.vec_id id, CAST(list_inner_product(CAST(x.c AS DOUBLE[]), CAST(y.c AS DOUBLE[])) AS BIGINT) score FROM gc x, gc y WHERE x.vec_id % 20 = 0),
+gr AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) rank, id, score FROM gs)
+"""
+
+
+@query(f"WITH {_G} SELECT qid, rank, id, CAST(score AS FLOAT) AS score FROM gr WHERE rank <= {K}")
+def vec_global_scale_topk(spark, d):
+    v = _floats(spark, d)
+    g = v.agg(F.max(V.max_abs(F.col("v"))).alias("g"))
+    one = F.lit(1.0).cast("float")
+    index = v.crossJoin(F.broadcast(g)).select("id", V.requantize_global(F.col("v"), F.col("g")).alias("codes"), one.alias("scale"))  # g is one row
+    return S.search(index, _asked(index), K)
+
+
+@query(f"WITH {_Q}, {_G} SELECT qid, count(id) AS hits, count(id) / {K} AS share FROM (SELECT r.qid, gr.id FROM r LEFT JOIN gr ON r.qid = gr.qid AND r.id = gr.id AND gr.rank <= {K} WHERE r.rank <= {K}) GROUP BY qid")
+def vec_overlap(spark, d):
+    return S.overlap(vec_search_topk(spark, d), vec_global_scale_topk(spark, d), K)
+
+
+@query(f"WITH {_Q} SELECT qid, NOT (label <> 3 AND score >= 0.55) AS low_confidence, CASE WHEN label = 3 THEN 'unrankable' WHEN score >= 0.55 THEN 'ok' ELSE 'noise' END AS confidence_kind FROM r JOIN embeddings ON id = vec_id WHERE rank = 1")
+def vec_confidence(spark, d):
+    hits = vec_search_topk(spark, d)
+    top = hits.where("rank = 1").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("source")), "id")
+    return S.confidence(top, hits.select("qid").distinct(), unrankable=("3",))
+
+
+@query()
+def vec_collapse(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://example.org/"), F.col("source"), F.lit("/"), (F.col("doc_id") % 97).cast("string")).alias("url"), "text")
+    ranked = docs.withColumn("qid", F.floor(F.col("id") / 100)).withColumn("rank", (F.col("id") % 100 + 1).cast("long"))
+    return S.collapse(ranked, K)
+
+
+@query(f"WITH {_Q}, n AS (SELECT count(*) n FROM embeddings) SELECT qid, rank, id, score FROM r UNION ALL SELECT x.vec_id, n.n + k.k, -1, CAST('-inf' AS FLOAT) FROM embeddings x, n, (SELECT unnest([1, 2, 3]) k) k WHERE x.vec_id % 20 = 0")
+def vec_padded_result(spark, d):
+    index = _index(spark, d)
+    k, q = index.count() + 3, _asked(index)
+    return S.padded(S.search(index, q, k), q, k)
+
+
+@query()
+def text_chunk(spark, d):
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(T.chunk(F.coalesce("text", F.lit("")))).alias("at", "piece"))
+
+
+@query()
+def text_is_prose_parts(spark, d):
+    t = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", T.is_prose(t).alias("prose"), F.round(T.title_case_ratio(t), 9).alias("title_case"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) < 40 THEN false WHEN regexp_matches(text, '\"[\\s]*:[\\s]*[\"\\d{\\[]') THEN true ELSE (length(text) - length(regexp_replace(text, '[{}\\[\\]<>;=|\\\\/*&^~`$]', '', 'g'))) / length(text) > 0.04 END AS code FROM documents")
+def text_is_code(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.looks_like_code(F.col("text")).alias("code"))
+
+
+@query("WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(t[1:80], ' [^ ]*$', '') || '...' END AS short FROM d")
+def text_trim(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.trim(F.col("text"), 80).alias("short"))
+
+
+@query()
+def text_headline(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.headline(F.col("text")).alias("headline"))
+
+
+@query("SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS at, unnest(p) AS chunk FROM (SELECT doc_id, list_transform(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 60), lambda x: x[1:512]) p FROM documents)")
+def text_paragraph_loader(spark, d):
+    return corpora.loader_chunks(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "at", "chunk")
+
+
+@query()
+def text_artifact_audit(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(T.artifacts(F.col("text"))).alias("label"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
+
+
+@query()
+def text_clean_plain(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(T.clean_plain_text(F.col("text")), 256).alias("clean_sha256"))
+
+
+@query()
+def html_strip(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(https?://)', 1) || lower(regexp_extract(url, '^https?://([^/]+)', 1)) || regexp_replace(url, '^https?://[^/]+', '') AS url, regexp_matches(url, '(?i)^https?://') AS safe FROM pages")
+def html_lower_host(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.lower_host(F.col("url")).alias("url"), T.safe_link(F.col("url")).alias("safe"))
+
+
+@query("SELECT conv_id, arg_max(text, (length(text), -turn)) AS best FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def qa_best_answer(spark, d):
+    a = _t(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("a"))
+    answers = F.transform("a", lambda x: F.struct(x["text"].alias("text"), F.lit(False).alias("selected"), F.length(x["text"]).alias("pm_score")))
+    return a.select("conv_id", corpora.best_answer(answers)["text"].alias("best"))
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+def source_counts(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7")
+def source_limit(spark, d):
+    return ranking.per_source_limit(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 7)
+
+
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY rn, source) - 1 AS global_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn FROM documents)")
+def source_interleave(spark, d):
+    return ranking.interleave(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query("SELECT doc_id, CAST(sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS BIGINT) AS offset_start, CAST(sum(strlen(text)) OVER (ORDER BY doc_id) AS BIGINT) AS offset_end FROM documents")
+def store_offsets(spark, d):
+    return ranking.byte_offsets(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "offset_start", "offset_end")
+
+
+@query("SELECT count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS dim, CAST(ceil(max(len(embedding)) / 16.0) * 16 AS INTEGER) AS dpad, CAST(ceil(max(len(embedding)) / 16.0) * 16 + 4 AS INTEGER) AS bytes_per_vector, count(DISTINCT label) AS sources FROM embeddings")
+def manifest_row(spark, d):
+    rows = _index(spark, d).join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("source")), "id")
+    return index_store.manifest(rows).select("n", "dim", "dpad", "bytes_per_vector", F.size("per_source").cast("long").alias("sources"))
+
+
+@query("WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) i, count(*) OVER (PARTITION BY event_type) n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, (max(value) FILTER (i = (n + 1) // 2) + max(value) FILTER (i = n // 2 + 1)) / 2 AS median, max(value) FILTER (i = n // 2 + 1) AS upper_median, max(value) FILTER (i = CASE WHEN n * 9 // 10 = 0 THEN n ELSE n * 9 // 10 END) AS p90, min(value) AS lowest, max(value) AS highest FROM e GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return metrics.order_statistics(_t(spark, d, "events"), "event_type", "value")
+
+
+_RUNS = [("exact float32", 46.2, 1.0, 1536), ("direct signed", 16.3, 0.978, 384), ("symmetric int8", 247.9, 0.981, 388)]
+_RUNS_SQL = ", ".join(f"('{n}', CAST({q} AS DOUBLE), CAST({r} AS DOUBLE), {b})" for n, q, r, b in _RUNS)
+
+
+@query(f"SELECT name, CAST(0.0816 AS DOUBLE) / qps * 1e6 / 3600 AS usd_per_million, (SELECT max(qps) FILTER (name = 'exact float32') FROM (VALUES {_RUNS_SQL}) w(name, qps, recall, bytes)) / qps AS vs_float32, recall BETWEEN 0.97 AND 0.99 AS matched FROM (VALUES {_RUNS_SQL}) v(name, qps, recall, bytes)")
+def cost_per_million(spark, d):
+    runs = spark.createDataFrame(_RUNS, "name string, qps double, recall double, bytes int")
+    base = runs.agg(F.max(F.when(F.col("name") == "exact float32", F.col("qps"))).alias("base"))
+    return runs.crossJoin(base).select("name", metrics.cost_per_million(F.lit(0.0816), F.col("qps")).alias("usd_per_million"), (F.col("base") / F.col("qps")).alias("vs_float32"), metrics.in_band(F.col("recall")).alias("matched"))  # base is one row
+
+
+_INSNS = [("w", "a.so", "sdot", "v0.4s, v1.16b, v2.16b"), ("w", "a.so", "SMMLA", "v0.4s, v1.16b, v2.16b"), ("w", "a.so", "fmla", "z0.s, p0/m, z1.s, z2.s"), ("w", "a.so", "smstart", ""), ("w", "b.so", "zero", "{za}"), ("w", "b.so", "add", "x0, x1, x2"), ("w", "b.so", "ld1w.s", "z31.s, p7/z, [x0]"), ("w", "b.so", "mov", "z32.s, x0")]
+
+
+@query("SELECT * FROM (VALUES ('dotprod', 1), ('i8mm', 1), ('sve', 2), ('sme', 4)) v(feature, hits)")
+def isa_feature_counts(spark, d):
+    return isa.feature_counts(spark.createDataFrame(_INSNS, "wheel string, object string, mnemonic string, op_str string"))
+
+
+@query("SELECT CAST(m AS BIGINT) AS midr, CAST((m >> 24) & 255 AS BIGINT) AS implementer, CAST((m >> 4) & 4095 AS BIGINT) AS part FROM (VALUES (1091555456), (1091555457), (1091621072)) v(m)")
+def midr_decode(spark, d):
+    m = spark.createDataFrame([(1091555456,), (1091555457,), (1091621072,)], "midr long")
+    i, p = isa.midr_fields(F.col("midr"))
+    return m.select("midr", i.alias("implementer"), p.alias("part"))
