@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+
 #: Rows up to which a lookup table of narrow rows (about 50 bytes each) is broadcast; beyond it the plans below take another way.
 BROADCAST_ROWS = 1_000_000
 
@@ -46,18 +46,9 @@ def memo(name: str) -> dict:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers import it wherever they run."""
-    sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if getattr(sc, "_vecloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="vecloom-")) / "vecloom_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(target))
-    sc._vecloom_shipped = True
+    runtime.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
