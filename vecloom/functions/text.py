@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..runtime import ship
 
@@ -26,7 +27,7 @@ def collapse(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, "(?U)[\\s\\x1c-\\x1f]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
