@@ -3,8 +3,8 @@
 Every document of a source gets the same expected multiplicity m = target / source size. Its whole part is certain;
 its fraction is an inclusion probability. The flight phase moves the probabilities of three documents at a time along
 the null space of two constraints (document total, token total) until they are 0 or 1, keeping both totals. It runs in
-blocks of a source (so a source with a third of all rows is many tasks); each block leaves at most two undecided
-documents, which meet in larger and larger blocks until one small landing problem per source remains: the two documents
+blocks of a source (so a source with a third of all rows is many tasks); each block leaves at most five undecided
+documents (three of them kept out of flight, spread over the sizes), which meet in larger and larger blocks until one small landing problem per source remains: the two documents
 that the last flight leaves and a few it was kept from, spread over the sizes. Landing takes the subset of these that
 comes nearest to the tokens still due.
 
@@ -122,12 +122,12 @@ def _fly_block(last: bool, level: int):
         pdf = pdf.sort_values(["h", "id", "size", "n"], na_position="last", kind="stable")
         p, x = pdf["p"].to_numpy(), pdf["size"].to_numpy()
         seed = _seed(level, str(pdf["source"].iloc[0]), int(pdf["block"].iloc[0]), len(pdf))
-        if not last:
-            return pdf.assign(p=flight(p, x, seed))
         flying = np.ones(len(p), bool)
-        flying[reserve(x, p, LANDING_ROWS - 2)] = False
+        flying[reserve(x, p, LANDING_ROWS - 2 if last else 3 * (len(p) >= 8))] = False
         out = p.copy()
         out[flying] = flight(p[flying], x[flying], seed)
+        if not last:
+            return pdf.assign(p=out)
         open_ = np.flatnonzero((out > 0) & (out < 1))
         settled = np.setdiff1d(np.arange(len(p)), open_)
         if len(open_):
