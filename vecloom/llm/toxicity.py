@@ -59,7 +59,8 @@ def segments(toxic: list[str], ordinary: list[str], least_share: float = 0.02, l
         for g in _grams(w) & often:
             seen[g] += c
     odds = {g: math.log((count[g] + 0.5) / nt) - math.log((seen[g] + 0.5) / no) for g in often}
-    often = {g for g in often if odds[g] >= least_odds}
+    # zstandard matches 5 bytes of a segment too, so no 5 characters of it may be ordinary
+    often = {g for g in often if all(odds.get(g[i : i + 5], -1.0) >= least_odds for i in range(len(g) - 4))}
     for w in tw:
         for g in _grams(w) & often:
             where.setdefault(g, []).append(w)
