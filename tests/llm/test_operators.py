@@ -98,6 +98,20 @@ def test_near_large_group_and_chain(spark):
     assert {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in got} == brute_components(rows, 4)
 
 
+def test_near_around_a_passage(spark, monkeypatch):
+    """Documents around one passage, nearly all too different to link: their nodes don't shrink and need all pairs."""
+    r, passage = np.random.default_rng(6), [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join([*passage, *(f"w{x}" for x in r.integers(0, 10**9, 26))])) for i in range(90)]
+    for i in range(90, 100):  # each is linked to one other only
+        rows.append((i, " ".join([*rows[i - 60][1].split()[:-10], *(f"v{x}" for x in r.integers(0, 10**9, 10))])))
+    want = brute_components(rows, 4)
+    assert sum(c != d for d, (c, _) in want.items()) == 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (256, 16):  # in one block, and in pairs of blocks
+        monkeypatch.setattr(near_dedup, "CROWD", crowd)
+        assert {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in near_dedup.near_groups(df, width=4).collect()} == want
+
+
 def test_pack(docs, empty, rows):
     path = packing.default_tokenizer()
     tok = packing._tokenizer(path)[0]

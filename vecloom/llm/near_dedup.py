@@ -5,7 +5,11 @@ smallest id, so copies never meet pairwise. Each class has LEVELS * TREES minwis
 classes on one token; a node of at most SMALL classes is compared exhaustively; a larger node links all its classes to
 a leader (a linear star) and, where they aren't known to be connected already, branches again on the next selected
 token of the tree, one node in four on a second token too (1.25 branches on average, one over the similarity). TREES
-independent trees give the recall; all trees go through each level together.
+independent trees give the recall; all trees go through each level together. Documents around one long passage are all
+much alike without being similar enough, so that their nodes hardly shrink: from level STUBBORN on, a node of at most
+CROWD classes branches no more, and nor does any node of the last level. Such nodes are compared exhaustively too, on
+sketches of one byte a token and inside the tasks, between different components only; those of more than CROWD classes
+in blocks of CROWD, each pair of blocks a group of its own.
 
 Candidate pairs are distinct, are dropped where a sketch of all tokens shows that they can't reach the similarity
 (under CUT of tokens agree; a true pair fails that about once in a million), and the rest are confirmed on full sets,
@@ -38,6 +42,7 @@ from . import _shared
 from ._shared import dropped, memo, ship, stored, table
 
 TREES, LEVELS, SMALL, CUT = 16, 6, 8, 0.6
+STUBBORN, CROWD = 2, 256
 TOKENS = TREES * LEVELS
 #: This operator joins many tables in turn, so each is broadcast only while it is small; executors keep them for a while.
 MOST_BROADCAST = 40_000
@@ -122,6 +127,24 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(b["a"].to_numpy()[keep]), pa.array(b["b"].to_numpy()[keep]), pa.array(eq[keep])], ["a", "b", "eq"])
 
 
+def _crowd(rows: pa.Table) -> pa.Table:
+    """Candidates (a, b, eq) of one pair of blocks of a node, from rows (x, y, block, rep, c, sketch)."""
+    ids, c, block = (rows[n].to_numpy() for n in ("rep", "c", "block"))
+    sk = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+    within = rows["x"][0].as_py() == rows["y"][0].as_py()
+    a, b, eq = [], [], []
+    for i in range(len(ids)):
+        others = (c != c[i]) & ((ids > ids[i]) if within else (block > block[i]))
+        at = np.flatnonzero(others)
+        n = (sk[at] == sk[i]).sum(1)
+        good = n >= CUT * TOKENS
+        a.append(np.full(int(good.sum()), ids[i]))
+        b.append(ids[at[good]])
+        eq.append(n[good])
+    a, b, eq = (np.concatenate(v) for v in (a, b, eq))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "eq": pa.array(eq, pa.int32())})
+
+
 def _confirmer(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last_set = None, None
@@ -228,6 +251,22 @@ class _Join:
         x = pairs.join(tok.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(tok.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
         cand = stored(x.mapInArrow(_agreement, "a long, b long, eq int"), "candidates")
         dropped(pairs)
+        self.settle(cand)
+
+    def exhaust(self, crowds: list[DataFrame]) -> None:
+        """Nodes (node, rep) that don't shrink: all their pairs between different components, compared on sketches."""
+        rows = stored(self.known(reduce(DataFrame.unionByName, crowds), "rep", "c"), "crowds")
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        nodes = nodes.select("node", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+        sketch = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.hex(F.substring("tokens", i * 4 + 1, F.lit(1)))), "")
+        rows = rows.join(lookup(stored(nodes, "crowded")), "node").join(self.reps.select("rep", F.unhex(sketch).alias("sketch")), "rep")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        rows = rows.select("node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "c", "sketch")
+        found = rows.groupBy("node", "x", "y").applyInArrow(_crowd, "a long, b long, eq int")
+        self.settle(stored(found.distinct(), "found"))
+
+    def settle(self, cand: DataFrame) -> None:
         ends = cand.select("a", "b", "eq").unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "eq"))
         best = ends.groupBy("a").agg(F.max_by("b", "eq").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if self._confirmed(best):
@@ -257,13 +296,22 @@ class _Join:
             open_ = self.known(big, "rep", "c").groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("node")
             big = stored(big.join(lookup(stored(open_, "open")), "node", "left_semi"), "open_members")
         more: list[DataFrame] = []
+        crowds: list[DataFrame] = []
         for level in range(1, LEVELS):
             if big is None or not big.limit(1).count():
                 break
             pairs, big = self.level(self.branch(big, level), level, True)
             more += pairs
+            if big is not None and level >= STUBBORN:
+                last = level == LEVELS - 1
+                sizes = big.groupBy("node").agg(F.count(F.lit(1)).alias("n")).select("node", (F.lit(last) | (F.col("n") <= CROWD)).alias("stays"))
+                big = stored(big.join(lookup(stored(sizes, f"sizes{level}")), "node"), f"sized{level}")
+                crowds.append(big.where("stays").select("node", "rep"))
+                big = big.where("not stays").drop("stays")
         if more:
             self.confirm(more)
+        if crowds:
+            self.exhaust(crowds)
         f = self.features
         out = f.where("sig is not null").join(lookup(self.classes), "sig")
         out = self.known(out, "rep", "component_id").select("doc_id", "n_shingles", "component_id")
