@@ -9,7 +9,8 @@ independent trees give the recall; all trees go through each level together. Doc
 much alike without being similar enough, so that their nodes hardly shrink: from level STUBBORN on, a node of at most
 CROWD classes branches no more, and nor does any node of the last level. Such nodes are compared exhaustively too, on
 sketches of one byte a token and inside the tasks, between different components only; those of more than CROWD classes
-in blocks of CROWD, each pair of blocks a group of its own.
+in blocks of CROWD, each pair of blocks a group of its own. Pairs never leave the task: what meets another class is
+joined to its text, and the task returns a forest of the links that hold on full sets.
 
 Candidate pairs are distinct, are dropped where a sketch of all tokens shows that they can't reach the similarity
 (under CUT of tokens agree; a true pair fails that about once in a million), and the rest are confirmed on full sets,
@@ -127,22 +128,60 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(b["a"].to_numpy()[keep]), pa.array(b["b"].to_numpy()[keep]), pa.array(eq[keep])], ["a", "b", "eq"])
 
 
-def _crowd(rows: pa.Table) -> pa.Table:
-    """Candidates (a, b, eq) of one pair of blocks of a node, from rows (x, y, block, rep, c, sketch)."""
-    ids, c, block = (rows[n].to_numpy() for n in ("rep", "c", "block"))
-    sk = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
-    within = rows["x"][0].as_py() == rows["y"][0].as_py()
-    a, b, eq = [], [], []
+MET = "node long, x int, y int, block int, rep long, c long, sketch binary"
+
+
+def _meetings(ids: np.ndarray, c: np.ndarray, block: np.ndarray, sk: np.ndarray, within: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows i of a pair of blocks, the rows of other components that may be similar to each, and their agreement."""
     for i in range(len(ids)):
-        others = (c != c[i]) & ((ids > ids[i]) if within else (block > block[i]))
-        at = np.flatnonzero(others)
-        n = (sk[at] == sk[i]).sum(1)
-        good = n >= CUT * TOKENS
-        a.append(np.full(int(good.sum()), ids[i]))
-        b.append(ids[at[good]])
-        eq.append(n[good])
-    a, b, eq = (np.concatenate(v) for v in (a, b, eq))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "eq": pa.array(eq, pa.int32())})
+        at = np.flatnonzero((c != c[i]) & ((ids > ids[i]) if within else (block > block[i])))
+        eq = (sk[at] == sk[i]).sum(1)
+        good = eq >= CUT * TOKENS
+        if good.any():
+            yield i, at[good], eq[good]
+
+
+def _block(rows: pa.Table):
+    sk = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+    return *(rows[n].to_numpy() for n in ("rep", "c", "block")), sk, rows["x"][0].as_py() == rows["y"][0].as_py()
+
+
+def _crowd(rows: pa.Table) -> pa.Table:
+    """The rows of a pair of blocks that meet another one."""
+    meets = np.zeros(rows.num_rows, bool)
+    for i, at, _ in _meetings(*_block(rows)):
+        meets[i] = meets[at] = True
+    return rows.filter(pa.array(meets))
+
+
+def _linker(width: int, percent: int):
+    """Links (a, b) within a pair of blocks, on full sets: a forest, so at most one for each row."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, c, block, sk, within = _block(rows)
+        texts, sets, parent = rows["text"], {}, {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(texts[i].as_py(), width)
+            return sets[i]
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        a, b = [], []
+        for i, at, eq in _meetings(ids, c, block, sk, within):
+            for j in at[np.argsort(-eq, kind="stable")].tolist():
+                ri, rj = root(c[i]), root(c[j])
+                if ri != rj and similar(full(i), full(j), percent):
+                    parent[ri] = rj
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _confirmer(width: int, percent: int):
@@ -251,7 +290,12 @@ class _Join:
         x = pairs.join(tok.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(tok.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
         cand = stored(x.mapInArrow(_agreement, "a long, b long, eq int"), "candidates")
         dropped(pairs)
-        self.settle(cand)
+        ends = cand.select("a", "b", "eq").unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "eq"))
+        best = ends.groupBy("a").agg(F.max_by("b", "eq").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if self._confirmed(best):
+            rest = stored(self.apart(cand.select("a", "b")), "rest")
+            if rest.limit(1).count():
+                self._confirmed(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
 
     def exhaust(self, crowds: list[DataFrame]) -> None:
         """Nodes (node, rep) that don't shrink: all their pairs between different components, compared on sketches."""
@@ -263,16 +307,12 @@ class _Join:
         rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         rows = rows.select("node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "c", "sketch")
-        found = rows.groupBy("node", "x", "y").applyInArrow(_crowd, "a long, b long, eq int")
-        self.settle(stored(found.distinct(), "found"))
-
-    def settle(self, cand: DataFrame) -> None:
-        ends = cand.select("a", "b", "eq").unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "eq"))
-        best = ends.groupBy("a").agg(F.max_by("b", "eq").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if self._confirmed(best):
-            rest = stored(self.apart(cand.select("a", "b")), "rest")
-            if rest.limit(1).count():
-                self._confirmed(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        met = stored(rows.groupBy("node", "x", "y").applyInArrow(_crowd, MET), "met")
+        need = stored(met.select(F.col("rep").alias("id")).distinct(), "met_ids")
+        texts = self.rows.join(lookup(need), "id", "left_semi").select(F.col("id").alias("rep"), F.col("t").alias("text"))
+        found = met.join(texts, "rep").groupBy("node", "x", "y").applyInArrow(_linker(self.width, self.percent), "a long, b long")
+        self.edges.append(stored(found.distinct(), "found"))
+        self.comps = stored(components(reduce(DataFrame.unionByName, self.edges)), "components")
 
     def _confirmed(self, pairs: DataFrame) -> bool:
         pairs = stored(pairs, "checked")
