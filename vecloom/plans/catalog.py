@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import isa, metrics, ranking
+from ..operators import comparators, isa, metrics, ranking
 from ..operators import search as S
 from ..sources import corpora, index_store
 
@@ -123,6 +123,38 @@ def vec_global_scale_topk(spark, d):
     return S.search(index, _asked(index), K)
 
 
+def _sq(spark, d: str, per_dim: bool) -> DataFrame:
+    v = _floats(spark, d)
+    hits = comparators.search_scalar(comparators.scalar_index(v, 64, per_dim), _asked(v), K)
+    return metrics.recall(hits, vec_search_exact_topk(spark, d), K)
+
+
+@query()
+def vec_sq8_per_dim_recall(spark, d):
+    return _sq(spark, d, True)
+
+
+@query()
+def vec_sq8_uniform_recall(spark, d):
+    return _sq(spark, d, False)
+
+
+def _pq(spark, d: str, nlist: int, nprobe: int | None) -> DataFrame:
+    v = _floats(spark, d)
+    model = comparators.fit_pq(v, 64, 16, nlist)
+    return comparators.search_pq(comparators.pq_index(v, model), _asked(v), model, K, nprobe)
+
+
+@query()
+def vec_pq_topk(spark, d):
+    return _pq(spark, d, 1, None)
+
+
+@query()
+def vec_ivf_pq_topk(spark, d):
+    return _pq(spark, d, 16, 8)
+
+
 @query(f"WITH {_Q}, {_G} SELECT qid, count(id) AS hits, count(id) / {K} AS share FROM (SELECT r.qid, gr.id FROM r LEFT JOIN gr ON r.qid = gr.qid AND r.id = gr.id AND gr.rank <= {K} WHERE r.rank <= {K}) GROUP BY qid")
 def vec_overlap(spark, d):
     return S.overlap(vec_search_topk(spark, d), vec_global_scale_topk(spark, d), K)
