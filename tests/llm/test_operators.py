@@ -261,6 +261,18 @@ def test_pii_adds_and_is_linear(docs, empty):
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty).count() == 0
 
 
+def test_pii_regions_are_not_cut():
+    w = pii.weights()
+    found = lambda t: [t[s:e] for s, _, e in pii.all_spans(t, w)[1]]
+    assert found("5 a b c john (at) x (dot) com") == ["john (at) x (dot) com"]
+    for gap in range(20):  # words between the hints of two entities
+        assert found(f"call (523) 555-1055 {'la ' * gap}mira (at) ver (dot) com") == ["(523) 555-1055", "mira (at) ver (dot) com"], gap
+    for n in range(140):  # tokens before the entity, dense with digits
+        for e in ("(523) 555-1055", "mira (at) ver (dot) com"):
+            t = " ".join(("12", "la")[i % 2] for i in range(n)) + f" la {e} la" + " 12 la" * 40
+            assert found(t) == [e], n
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()

@@ -1,14 +1,15 @@
 """Personal data by base patterns and a semi-Markov conditional random field.
 
-Base spans (email, ip, card, phone) come from fixed patterns with their checks and always stay. Around every digit or
-at sign the text's tokens form a region; in it, whole-span features (digit count and grouping, separators, Luhn, octet
-ranges, at/dot spelled out, neighbouring cue words) score candidate segments of up to MOST_TOKENS tokens with each type,
-and a dynamic program over tokens chooses boundaries and types jointly, base spans being walls. A chosen segment is
+Base spans (email, ip, card, phone) come from fixed patterns with their checks and always stay. Tokens within MOST_TOKENS
+of one with a digit or at sign form regions; in them, whole-span features (digit count and grouping, separators, Luhn,
+octet ranges, at/dot spelled out, neighbouring cue words) score candidate segments of up to MOST_TOKENS tokens with each
+type, and a dynamic program over tokens chooses boundaries and types jointly, base spans being walls. A chosen segment is
 added when its score clears `margin`. Weights are trained here, by conditional likelihood with forward-backward over
 the same segments, on sentences made from a seed (`TRAIN_SENTENCES` of them): entities in spellings that the patterns
 miss, and numbers that are no personal data.
 
-Memory: a region is cut at REGION_TOKENS tokens, with MOST_TOKENS of overlap kept, so cost is linear in the text.
+Memory: a region is never cut. Its segments are scored and dropped token by token, so that a region keeps offsets, scores
+and back pointers of its tokens only; cost is linear in the text.
 
 Defined cases: null text is empty and has no span; digests of no spans are of the empty string; repeated rows are
 scanned each; an empty table gives no rows; extra columns are ignored.
@@ -22,6 +23,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from ._shared import ship, table
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS, REGION_TOKENS, MARGIN, TRAIN_SENTENCES = 6, 64, 1.5, 1500
+MOST_TOKENS, MARGIN, TRAIN_SENTENCES = 6, 1.5, 1500
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # possessive runs: a start inside a digit run can't match where the run's first digit doesn't
@@ -39,6 +41,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _HINT = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_AT = re.compile(r"@|[(\[]at[)\]]|^[^a-z]*at[^a-z]*$", re.IGNORECASE)  # in a token of every segment with an at feature
 _TOKEN = re.compile(r"[^\s]+")
 
 
@@ -121,13 +124,17 @@ def _features(tokens: list[str], i: int, j: int) -> list[str]:
 
 def _arcs(tokens: list[str]) -> list[list[tuple[int, list[str]]]]:
     """Per end, the segments (start, features) that could be entities."""
-    arcs: list[list] = [[] for _ in range(len(tokens) + 1)]
-    for i in range(len(tokens)):
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
-            f = _features(tokens, i, j)
-            if f:
-                arcs[j].append((i, f))
-    return arcs
+    return [[], *_arcs_by_end(tokens)]
+
+
+def _arcs_by_end(tokens: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+    digits = [0, *accumulate(len(_DIGIT.findall(t)) for t in tokens)]
+    last_at = -1
+    for j in range(1, len(tokens) + 1):
+        if _AT.search(tokens[j - 1]):
+            last_at = j - 1
+        starts = (i for i in range(max(0, j - MOST_TOKENS), j) if last_at >= i or digits[j] - digits[i] >= 7)  # others have no features
+        yield [(i, f) for i in starts if (f := _features(tokens, i, j))]
 
 
 def _sum(w: dict, f: list[str], k: int) -> float:
@@ -141,11 +148,10 @@ def _lse(xs: list[float]) -> float:
 
 def best_segments(tokens: list[str], w: dict, margin: float = MARGIN) -> list[tuple[int, int, int]]:
     """(start token, end token, kind) of the best segmentation."""
-    arcs = _arcs(tokens)
     top, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-    for j in range(1, len(tokens) + 1):
+    for j, arcs in enumerate(_arcs_by_end(tokens), 1):
         top[j] = top[j - 1]
-        for i, f in arcs[j]:
+        for i, f in arcs:
             for k in range(len(KINDS)):
                 s = top[i] + _sum(w, f, k) - margin
                 if s > top[j]:
@@ -244,33 +250,50 @@ def weights() -> dict:
     return _trained["w"]
 
 
+def _before(text: str, at: int, hint: int) -> int:
+    """Where the region of a hint begins: MOST_TOKENS tokens before the hint's own, at `at` (the end of a token) at least."""
+    reach = 128
+    while True:
+        lo = max(at, hint - reach)
+        starts = [m.start() for m in _TOKEN.finditer(text, lo, hint)]
+        if lo > at:
+            starts = starts[1:]  # the first may be the rest of a token
+        own = bool(starts) and not text[hint - 1].isspace()
+        if len(starts) >= MOST_TOKENS + own:
+            return starts[-MOST_TOKENS - own]
+        if lo == at:
+            return starts[0] if starts else hint
+        reach *= 2
+
+
+def _regions(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Offsets of the tokens within MOST_TOKENS of one with a hint, in maximal sequences."""
+    at = 0
+    while hint := _HINT.search(text, at):
+        tokens, last = [], 0
+        for m in _TOKEN.finditer(text, _before(text, at, hint.start())):
+            tokens.append(m.span())
+            if m.end() <= hint.start():
+                continue
+            if _HINT.search(text, *m.span()):
+                last = len(tokens)
+            elif len(tokens) - last > 2 * MOST_TOKENS:  # no later hint reaches back to this one's region
+                break
+        del tokens[last + MOST_TOKENS :]
+        yield tokens
+        at = tokens[-1][1]
+
+
 def all_spans(text: str, w: dict) -> tuple[list, list]:
     """(base spans, base and added spans), each (start, kind, end) sorted."""
     base = base_spans(text)
-    hint = _HINT.search(text)
-    if not hint:
-        return base, base
-    added, walls = [], [(s, e) for s, _, e in base]
-    wall, at = 0, 0
-    while hint:
-        # tokens around the hint: three before, then on for as long as hints come within three tokens
-        left, back = hint.start(), 0
-        lo = max(at, left - 400)
-        before = [m.start() for m in _TOKEN.finditer(text, lo, left)]
-        start = before[-4] if len(before) >= 4 else (before[0] if before else left)
-        tokens, quiet = [], 0
-        for m in _TOKEN.finditer(text, start):
-            tokens.append((m.start(), m.end()))
-            if m.end() > left:
-                quiet = 0 if _HINT.search(text, m.start(), m.end()) else quiet + 1
-            if quiet >= 4 or len(tokens) >= REGION_TOKENS:
-                break
-        end = tokens[-1][1]
+    added, wall = [], 0
+    for tokens in _regions(text):
         runs: list[list] = [[]]
         for s, e in tokens:
-            while wall < len(walls) and walls[wall][1] <= s:
+            while wall < len(base) and base[wall][2] <= s:
                 wall += 1
-            if wall < len(walls) and walls[wall][0] < e:
+            if wall < len(base) and base[wall][0] < e:
                 runs.append([])
             elif e - s <= 200:
                 runs[-1].append((s, e))
@@ -286,10 +309,7 @@ def all_spans(text: str, w: dict) -> tuple[list, list]:
                     s += 1
                 while e > s and text[e - 1] in _EDGE.replace(")", "").replace("]", "") + ".":
                     e -= 1
-                if not added or s >= added[-1][2]:
-                    added.append((s, k, e))
-        at = max(end, hint.end())
-        hint = _HINT.search(text, at)
+                added.append((s, k, e))
     return base, sorted(base + added)
 
 
