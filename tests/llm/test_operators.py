@@ -273,6 +273,30 @@ def test_pii_regions_are_not_cut():
             assert found(t) == [e], n
 
 
+def test_pii_scores_every_trained_spelling():
+    w = pii.weights()
+    text, gold, at = [], [], 0
+    for tokens, spans in pii._sentences(99, 1000):
+        arcs = pii._arcs(tokens)
+        assert all(i in [x for x, _ in arcs[j]] for i, j, _ in spans), tokens
+        text += tokens
+        gold += [" ".join(tokens[i:j]).rstrip(".,") for i, j, _ in spans]
+    text = " ".join(text)
+    every = [text[s:e] for s, _, e in pii.all_spans(text, w)[1]]
+    assert sum(g in every for g in gold) > 0.99 * len(gold) and sum(e in gold for e in every) > 0.99 * len(every)
+    card = "4111 1111 1111 1111".split()
+    spelled = [x.join(["10", "0", "0", "1"]) for x in ("[.]", " dot ", "(dot)", "[dot]")] + [x.join(card) for x in (". ", ".", " - ", "/")]
+    spelled += [f"anna{a}example{o}com" for a, o in ((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", "."), ("(at)", "."))]
+    for e in spelled:
+        t = "mira ver la " * 20 + e + " la mira" * 20
+        assert [t[s:f] for s, _, f in pii.all_spans(t, w)[1]] == [e]
+        if " " not in e:  # in text without blanks
+            t = "mira,ver;" * 40 + e + "," + "la,mira;" * 40
+            assert [t[s:f] for s, _, f in pii.all_spans(t, w)[1]] == [e]
+    for t in ("look at mira la", "1. 2. 3. 4. 5. la", "1234567.².3.4 la", "at la dot la 12"):
+        assert pii.all_spans(t, w)[1] == [], t
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()

@@ -1,12 +1,13 @@
 """Personal data by base patterns and a semi-Markov conditional random field.
 
 Base spans (email, ip, card, phone) come from fixed patterns with their checks and always stay. Tokens within MOST_TOKENS
-of one with a digit or at sign form regions; in them, whole-span features (digit count and grouping, separators, Luhn,
+of one with a hint (a digit, an at sign, or at followed by dot) form regions; in them, whole-span features (digit count and grouping, separators, Luhn,
 octet ranges, at/dot spelled out, neighbouring cue words) score candidate segments of up to MOST_TOKENS tokens with each
 type, and a dynamic program over tokens chooses boundaries and types jointly, base spans being walls. A chosen segment is
 added when its score clears `margin`. Weights are trained here, by conditional likelihood with forward-backward over
 the same segments, on sentences made from a seed (`TRAIN_SENTENCES` of them): entities in spellings that the patterns
-miss, and numbers that are no personal data.
+miss, and numbers that are no personal data. Tokens are parted by blanks; one of more than LONG_TOKEN characters is parted
+at every character that no spelling has, too, and no segment reaches across such a place.
 
 Memory: a region is never cut. Its segments are scored and dropped token by token, so that a region keeps offsets, scores
 and back pointers of its tokens only; cost is linear in the text.
@@ -21,6 +22,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import ship, table
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS, MARGIN, TRAIN_SENTENCES = 6, 1.5, 1500
+MOST_TOKENS, MARGIN, TRAIN_SENTENCES = 7, 1.5, 1500
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # possessive runs: a start inside a digit run can't match where the run's first digit doesn't
@@ -42,7 +44,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _HINT = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _AT = re.compile(r"@|[(\[]at[)\]]|^[^a-z]*at[^a-z]*$", re.IGNORECASE)  # in a token of every segment with an at feature
+_DOT = re.compile(r"\[\.\]|dot", re.IGNORECASE)
+_SPELLED_AT = re.compile(r"(?<!\S)at(?=\s+(?:\S+\s+){1,%d}dot(?!\S))" % (MOST_TOKENS - 4), re.IGNORECASE)  # a segment has a token before at, two around dot
+_SHORT_IP = re.compile(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(dot\)|\[dot\]| dot )\s?[0-9]{1,3}){3}")
 _TOKEN = re.compile(r"[^\s]+")
+LONG_TOKEN = 200
+_PIECE = re.compile(r"[A-Za-z0-9._%+@()\[\]/-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -93,13 +100,18 @@ CUES = {
 _EDGE = ",;:!?\"'»«)(]["
 
 
+def _short_ip(span: str) -> bool:
+    """Four octets of few digits, at least one dot spelled out: 1. 2. 3. 4 is a list."""
+    return bool(_SHORT_IP.fullmatch(span)) and ("[" in span or "dot" in span)
+
+
 def _features(tokens: list[str], i: int, j: int) -> list[str]:
     """Features of the segment tokens[i:j] as a whole; none where it can't be an entity."""
     span = " ".join(tokens[i:j]).strip(_EDGE + ".")
     low = span.lower()
     digits = re.sub("[^0-9]", "", span)
     at = "@" in low or "(at)" in low or "[at]" in low or " at " in f" {low} "
-    if len(digits) < 7 and not at:
+    if len(digits) < 7 and not at and not (len(digits) >= 4 and _short_ip(low)):
         return []
     letters = re.sub(r"\(at\)|\[at\]|\(dot\)|\[dot\]", "", low)
     groups = [len(g) for g in re.findall("[0-9]+", span)]
@@ -112,7 +124,7 @@ def _features(tokens: list[str], i: int, j: int) -> list[str]:
         out.append(f"luhn={luhn(digits)}")
     parts = re.split(r"\s?(?:\.|\[\.\]|\(dot\)|\[dot\]| dot )\s?", span)
     if len(parts) == 4:
-        out.append(f"octets={all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}")
+        out.append(f"octets={all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)}")
     if before in CUES:
         out.append(f"cue={KINDS[CUES[before]]}")
     if i and (_DIGIT.search(tokens[i - 1]) or tokens[i - 1] in ("+", "at", "dot")):
@@ -129,11 +141,13 @@ def _arcs(tokens: list[str]) -> list[list[tuple[int, list[str]]]]:
 
 def _arcs_by_end(tokens: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
     digits = [0, *accumulate(len(_DIGIT.findall(t)) for t in tokens)]
-    last_at = -1
+    last_at = last_dot = -1
     for j in range(1, len(tokens) + 1):
         if _AT.search(tokens[j - 1]):
             last_at = j - 1
-        starts = (i for i in range(max(0, j - MOST_TOKENS), j) if last_at >= i or digits[j] - digits[i] >= 7)  # others have no features
+        if _DOT.search(tokens[j - 1]):
+            last_dot = j - 1
+        starts = (i for i in range(max(0, j - MOST_TOKENS), j) if last_at >= i or digits[j] - digits[i] >= (4 if last_dot >= i else 7))  # others have no features
         yield [(i, f) for i in starts if (f := _features(tokens, i, j))]
 
 
@@ -268,14 +282,21 @@ def _before(text: str, at: int, hint: int) -> int:
 
 def _regions(text: str) -> Iterator[list[tuple[int, int]]]:
     """Offsets of the tokens within MOST_TOKENS of one with a hint, in maximal sequences."""
-    at = 0
-    while hint := _HINT.search(text, at):
+    spelled = [m.start() for m in _SPELLED_AT.finditer(text)] if "dot" in text.lower() else []
+    known, at, next_at = set(spelled), 0, 0
+    while True:
+        while next_at < len(spelled) and spelled[next_at] < at:
+            next_at += 1
+        hint = _HINT.search(text, at, *spelled[next_at : next_at + 1])
+        if not hint and next_at == len(spelled):
+            return
+        first = hint.start() if hint else spelled[next_at]
         tokens, last = [], 0
-        for m in _TOKEN.finditer(text, _before(text, at, hint.start())):
+        for m in _TOKEN.finditer(text, _before(text, at, first)):
             tokens.append(m.span())
-            if m.end() <= hint.start():
+            if m.end() <= first:
                 continue
-            if _HINT.search(text, *m.span()):
+            if m.start() in known or _HINT.search(text, *m.span()):
                 last = len(tokens)
             elif len(tokens) - last > 2 * MOST_TOKENS:  # no later hint reaches back to this one's region
                 break
@@ -284,32 +305,41 @@ def _regions(text: str) -> Iterator[list[tuple[int, int]]]:
         at = tokens[-1][1]
 
 
+def _runs(text: str, tokens: list[tuple[int, int]], walls: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """The tokens of a region between its walls; long tokens by their pieces."""
+    wall, run = bisect_right(walls, tokens[0][0], key=lambda x: x[2]), []
+    for s, e in tokens:
+        pieces = [(s, e)] if e - s <= LONG_TOKEN else [m.span() for m in _PIECE.finditer(text, s, e)]
+        if not pieces or pieces[0][0] > s:
+            yield run
+            run = []
+        for n, (a, b) in enumerate(pieces):
+            while wall < len(walls) and walls[wall][2] <= a:
+                wall += 1
+            walled = wall < len(walls) and walls[wall][0] < b
+            if n or walled:
+                yield run
+                run = []
+            if not walled:
+                run.append((a, b))
+        if pieces and pieces[-1][1] < e:
+            yield run
+            run = []
+    yield run
+
+
 def all_spans(text: str, w: dict) -> tuple[list, list]:
     """(base spans, base and added spans), each (start, kind, end) sorted."""
     base = base_spans(text)
-    added, wall = [], 0
-    for tokens in _regions(text):
-        runs: list[list] = [[]]
-        for s, e in tokens:
-            while wall < len(base) and base[wall][2] <= s:
-                wall += 1
-            if wall < len(base) and base[wall][0] < e:
-                runs.append([])
-            elif e - s <= 200:
-                runs[-1].append((s, e))
-            else:
-                runs.append([])
-        for run in runs:
-            words = [text[s:e] for s, e in run]
-            if not any(map(_HINT.search, words)):
-                continue
-            for i, j, k in best_segments(words, w):
-                s, e = run[i][0], run[j - 1][1]
-                while s < e and text[s] in _EDGE.replace("(", "") + ".":
-                    s += 1
-                while e > s and text[e - 1] in _EDGE.replace(")", "").replace("]", "") + ".":
-                    e -= 1
-                added.append((s, k, e))
+    added = []
+    for run in (run for tokens in _regions(text) for run in _runs(text, tokens, base)):
+        for i, j, k in best_segments([text[s:e] for s, e in run], w):
+            s, e = run[i][0], run[j - 1][1]
+            while s < e and text[s] in _EDGE.replace("(", "") + ".":
+                s += 1
+            while e > s and text[e - 1] in _EDGE.replace(")", "").replace("]", "") + ".":
+                e -= 1
+            added.append((s, k, e))
     return base, sorted(base + added)
 
 
