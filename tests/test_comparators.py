@@ -89,6 +89,18 @@ def test_pq(vectors, asked, x, nlist, nprobe, monkeypatch):
     assert by_query(C.search_pq(index, asked, model, 10, nprobe)) == got
 
 
+@pytest.mark.parametrize("name", ["vec_pq_topk", "vec_ivf_pq_topk"])
+def test_pq_queries_reach_their_recall(spark, name):
+    from vecloom.operators import metrics
+    from vecloom.plans import catalog
+
+    d = "/root/testdata/sf0.1"
+    got, exact = catalog.QUERIES[name](spark, d).cache(), catalog.vec_search_exact_topk(spark, d).cache()
+    assert metrics.recall(got, exact, catalog.K).first()["recall"] >= 0.9
+    assert got.groupBy("qid").count().where("count <> 10").count() == 0
+    assert got.join(exact.select("qid", "id", exact["score"].alias("x")), ["qid", "id"]).where("abs(score - x) > 1e-6").count() == 0
+
+
 def test_pq_edges(vectors, empty, asked):
     model = C.fit_pq(empty, DIM, 4)
     assert C.search_pq(C.pq_index(empty, model), asked, model, 3).count() == 0

@@ -163,6 +163,13 @@ def search_pq(index: DataFrame, queries: DataFrame, model: PQModel, k: int, npro
     return S.ranked(parts, k)
 
 
+def reranked(hits: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    """(qid, rank, id, score): the k best of each query's hits by inner products of the full vectors, in double."""
+    q = _valid(queries.withColumnRenamed("qid", "id"), dim).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    full = hits.select("qid", "id").distinct().join(q, "qid").join(_valid(vectors, dim), "id")
+    return S.ranked(full.select("qid", "id", V.float_dot(F.col("qv"), F.col("v")).alias("score")), k)
+
+
 def _probed(index: DataFrame, model: PQModel, qid: np.ndarray, q: np.ndarray, m: int, k: int, probe: int) -> DataFrame:
     coarse = q @ model.cells.T
     wanted = np.zeros(coarse.shape, bool)

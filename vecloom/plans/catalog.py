@@ -15,6 +15,7 @@ from ..sources import corpora, index_store
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 K = 10
+FETCH = 100 * K  # hits of the 4-bit codes that are ranked again on the full vectors
 
 
 def query(sql: str | None = None):
@@ -142,7 +143,8 @@ def vec_sq8_uniform_recall(spark, d):
 def _pq(spark, d: str, nlist: int, nprobe: int | None) -> DataFrame:
     v = _floats(spark, d)
     model = comparators.fit_pq(v, 64, 16, nlist)
-    return comparators.search_pq(comparators.pq_index(v, model), _asked(v), model, K, nprobe)
+    hits = comparators.search_pq(comparators.pq_index(v, model), _asked(v), model, FETCH, nprobe)
+    return comparators.reranked(hits, v, _asked(v), 64, K)
 
 
 @query()
@@ -152,7 +154,7 @@ def vec_pq_topk(spark, d):
 
 @query()
 def vec_ivf_pq_topk(spark, d):
-    return _pq(spark, d, 16, 8)
+    return _pq(spark, d, 16, 12)
 
 
 @query(f"WITH {_Q}, {_G} SELECT qid, count(id) AS hits, count(id) / {K} AS share FROM (SELECT r.qid, gr.id FROM r LEFT JOIN gr ON r.qid = gr.qid AND r.id = gr.id AND gr.rank <= {K} WHERE r.rank <= {K}) GROUP BY qid")
