@@ -237,6 +237,15 @@ def test_language(spark, sf, docs, empty):
     assert language_id.keep_identified(empty).count() == 0
 
 
+def test_components_are_settled(spark):
+    order = np.random.default_rng(3).permutation(300).tolist()
+    edges = spark.createDataFrame([*zip(order[:200], order[1:200]), *zip(order[200:], order[201:])], "a long, b long")
+    want = {n: min(part) for part in (order[:200], order[200:]) for n in part}
+    assert {r["node"]: r["component"] for r in near_dedup.components(edges).collect()} == want
+    with pytest.raises(RuntimeError, match="not settled"):
+        near_dedup.components(edges, rounds=1)
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))), ("card", "[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(re.sub("[^0-9]", "", m))), ("phone", "\\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15)]
 
 

@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -203,12 +204,15 @@ def lookup(df: DataFrame) -> DataFrame:
     return _shared.lookup(df, MOST_BROADCAST)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node that edges (a, b) reach. Alternating large and small stars, each stored."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component): the smallest node that edges (a, b) reach. Alternating large and small stars, each stored, until
+    a round changes nothing; with `rounds`, it raises where so many don't suffice."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(e)
-    for _ in range(rounds if before[0] else 0):
+    for n in count() if before[0] else ():
+        if n == rounds:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.join(lookup(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
