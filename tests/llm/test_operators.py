@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import exact_join
 from vecloom.llm import chat, exact_dedup, language_id, mixing, near_dedup, packing, pii, registry, topk, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, group_size int, doc string"
@@ -74,42 +75,64 @@ def brute_components(rows, n):
     return {d: (find(d), len(s)) for d, s in sets}
 
 
+def near_result(df, **options):
+    return {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in near_dedup.near_groups(df, **options).collect() if x["doc_id"] is not None}
+
+
 def test_near(docs, empty, rows):
-    want = brute_components(rows, 4)
     got = near_dedup.near_groups(docs, width=4).collect()
     assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got if r["doc_id"] is not None} == want
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got if r["doc_id"] is not None} == brute_components(rows, 4)
     kept = near_dedup.drop_near_copies(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {d for d, (c, _) in brute_components(rows, 5).items() if c == d}
+    one_each = [d for d, (c, _) in brute_components(rows, 5).items() if c == d]  # and the row without an id
+    assert kept.columns == docs.columns and sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, [*one_each, None]))
     assert near_dedup.near_groups(empty).count() == near_dedup.drop_near_copies(empty).count() == 0
 
 
-def test_near_large_group_and_chain(spark):
+def test_near_large_group_chain_and_repeated_rows(spark):
     r, words = np.random.default_rng(5), base(7).split()
     rows, chain = [], list(words)
-    for i in range(120):  # a group in which most are alike
+    for i in range(200):  # a group in which most are alike
         w = list(words)
         w[int(r.integers(60))] = f"q{i}"
         rows.append((i, " ".join(w)))
-    for i in range(120, 180):  # a chain whose ends differ
+    for i in range(200, 260):  # a chain whose ends differ
         chain[i % 60] = f"c{i}"
         rows.append((i, " ".join(chain)))
-    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
-    assert {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in got} == brute_components(rows, 4)
+    want = brute_components(rows, 4)
+    rows += [rows[3]] * 200 + [rows[259]] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_result(df, width=4) == want
+    assert sorted(x["doc_id"] for x in near_dedup.drop_near_copies(df, width=4).collect()) == sorted(d for d, (c, _) in want.items() if c == d)
 
 
-def test_near_around_a_passage(spark, monkeypatch):
-    """Documents around one passage, nearly all too different to link: their nodes don't shrink and need all pairs."""
+@pytest.mark.parametrize("crowd,steps", [(128, near_dedup.STEPS), (8, (1, 2)), (8, ())])
+def test_near_around_a_passage(spark, monkeypatch, crowd, steps):
+    """Documents around one passage, nearly all too different to link: their nodes hardly shrink. As one block, branched, and as pairs of blocks."""
     r, passage = np.random.default_rng(6), [f"p{i}" for i in range(100)]
     rows = [(i, " ".join([*passage, *(f"w{x}" for x in r.integers(0, 10**9, 26))])) for i in range(90)]
     for i in range(90, 100):  # each is linked to one other only
         rows.append((i, " ".join([*rows[i - 60][1].split()[:-10], *(f"v{x}" for x in r.integers(0, 10**9, 10))])))
     want = brute_components(rows, 4)
     assert sum(c != d for d, (c, _) in want.items()) == 10
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for crowd in (256, 16):  # in one block, and in pairs of blocks
-        monkeypatch.setattr(near_dedup, "CROWD", crowd)
-        assert {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in near_dedup.near_groups(df, width=4).collect()} == want
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "STEPS", steps)
+    assert near_result(spark.createDataFrame(rows, "doc_id long, text string"), width=4) == want
+
+
+def test_near_recall_on_a_table_with_hot_groups(spark, sf):
+    """Against an exact join: the documents of sf0.1, copies of a text, near copies of one around the limit, and a common passage."""
+    r, words, passage = np.random.default_rng(9), base(8).split(), " ".join(f"p{i}" for i in range(40))
+    docs = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").collect()][::4]
+    docs += [(10**6 + i, base(3)) for i in range(600)] + [(2 * 10**6 + i, f"{passage} {base(1000 + i)[:200]}") for i in range(600)]
+    for i in range(600):
+        docs.append((3 * 10**6 + i, " ".join(w if r.random() > 0.03 else f"n{r.integers(10**9)}" for w in words)))
+    want, sizes = exact_join.exact(*zip(*docs), 4)
+    got = near_result(spark.createDataFrame(docs, "doc_id long, text string"), width=4)
+    assert all(got[d][1] == n for d, n in sizes.items())
+    linked = [d for d, c in want.items() if c != d]
+    assert len(linked) > 900 and sum(got[d][0] == want[d] for d in linked) >= 0.99 * len(linked)
+    assert all(got[d][0] == d for d, c in want.items() if c == d)
 
 
 def test_pack(docs, empty, rows):

@@ -1,29 +1,30 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
 A document's set is its distinct shingles (64-bit hashes). Documents of equal sets form a class and go on as its
-smallest id, so copies never meet pairwise. Each class has LEVELS * TREES minwise tokens. A tree starts by branching
-classes on one token; a node of at most SMALL classes is compared exhaustively; a larger node links all its classes to
-a leader (a linear star) and, where they aren't known to be connected already, branches again on the next selected
-token of the tree, one node in four on a second token too (1.25 branches on average, one over the similarity). TREES
-independent trees give the recall; all trees go through each level together. Documents around one long passage are all
-much alike without being similar enough, so that their nodes hardly shrink: from level STUBBORN on, a node of at most
-CROWD classes branches no more, and nor does any node of the last level. Such nodes are compared exhaustively too, on
-sketches of one byte a token and inside the tasks, between different components only; those of more than CROWD classes
-in blocks of CROWD, each pair of blocks a group of its own. Pairs never leave the task: what meets another class is
-joined to its text, and the task returns a forest of the links that hold on full sets.
-
-Candidate pairs are distinct, are dropped where a sketch of all tokens shows that they can't reach the similarity
-(under CUT of tokens agree; a true pair fails that about once in a million), and the rest are confirmed on full sets,
-recomputed from whole texts: first the best candidate of each class, then, of what still lies between different
-components, all. Components are found by alternating large and small stars. Pairs inside one component need no
-confirmation, since only reachability is returned.
-
-Scale: nothing is gathered by node beyond SMALL; large nodes are counted by partial aggregates and joined back by a
-checked broadcast or a skew-splitting join; every table goes to the shared folder; the driver sees counts only.
+smallest id, so copies never meet pairwise. Each class has TOKENS minwise tokens. A tree starts by branching classes on
+one token; TREES independent trees give the recall.
+
+1. The first FIRST trees deal each node to blocks of about CROWD classes, which are compared exhaustively. That connects
+   nearly everything that is alike, and large groups of near copies almost wholly.
+2. In the other trees, nodes within one component are done. Of an open node, the classes outside its largest component
+   go to every block of that component, if there are at most CROWD of them (so a node's rows at most double). Otherwise
+   the node branches again on further tokens: on one, and for one node in four on two (1.25 on average, one over the
+   similarity). Nodes that are still crowded after STEPS are compared by pairs of blocks, so nothing is dropped.
+
+A block is compared in its task, in two passes. The first compares sketches (one byte a token) of classes of different
+components and yields the rows that may be similar to another one, in clusters; a cluster that several trees find is
+taken once. The second has the whole texts of a cluster, counts all intersections of full sets, and returns a forest of
+the links that hold. So no pair of documents is ever a row, and each pass gives at most a row for each of its rows.
+A sketch rules a pair out where under CUT of its tokens agree (a true pair fails that about once in 10^5).
+
+Scale: blocks are bounded in classes and in shingles; nodes are counted by partial aggregates and joined back by a
+checked broadcast or a skew-splitting join; components are found by alternating large and small stars until a round
+changes nothing; every table goes to the shared folder; the driver sees counts only.
 
 Defined cases: null and empty texts, or texts without a word, have an empty set: component_id = doc_id, kept; fewer
-words than a shingle: the sequence is one shingle; rows with one id count as one document (repeated rows are copies of
-each other); a null id is only ever a copy (component of its class, or null); an empty table gives no rows; extra
+words than a shingle: the sequence is one shingle; rows with one id are one document (repeated rows are copies of each
+other, and different texts of one id all link it); a null id is only ever a copy (component of its class, or null) and is
+kept by `drop_near_copies`, which of the repeated rows of a kept id keeps one; an empty table gives no rows; extra
 columns are carried by `drop_near_copies` untouched.
 """
 
@@ -41,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._shared import dropped, memo, ship, stored, table
+from ._shared import dropped, memo, ship, stored, table, whole_row
 
-TREES, LEVELS, SMALL, CUT = 16, 6, 8, 0.6
-STUBBORN, CROWD = 2, 256
-TOKENS = TREES * LEVELS
+TREES, FIRST, TOKENS, CUT = 16, 2, 96, 0.62
+#: Classes and shingles of a block (one class with more is a block of its own).
+CROWD, CROWD_SHINGLES = 128, 1_000_000
+#: Tokens that an open node branches on before it is looked at again.
+STEPS = (1, 1, 2, 4, 4, 4, 4, 4)
 #: This operator joins many tables in turn, so each is broadcast only while it is small; executors keep them for a while.
 MOST_BROADCAST = 40_000
 REMEMBERED = 300_000
@@ -97,105 +100,146 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(16)).astype(np.uint32)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary()), ("sketch", pa.binary())])
+ROWS = "node long, tree int, rep long, c long, n long"
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _featurer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sig, tok = [], [], []
+            n, sig, tok, sketch = [], [], [], []
             for t in b["t"]:
                 s = shingles(t.as_py(), width)
+                low = minwise(s).astype("<u4") if len(s) else None
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                tok.append(minwise(s).astype("<u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(tok, pa.binary())], schema=FEATURES)
+                tok.append(low.tobytes() if len(s) else None)
+                sketch.append(low.astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sig, tok, sketch))], schema=FEATURES)
 
     return run
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of equal tokens of each pair."""
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), "<u4").reshape(-1, TOKENS) for c in ("ta", "tb"))
-            eq = (x == y).sum(1).astype(np.int32)
-            keep = eq >= CUT * TOKENS
-            yield pa.RecordBatch.from_arrays([pa.array(b["a"].to_numpy()[keep]), pa.array(b["b"].to_numpy()[keep]), pa.array(eq[keep])], ["a", "b", "eq"])
+def _brancher(depth: int, steps: int):
+    """Rows of open nodes with their tokens -> the rows of their nodes `steps` tokens deeper."""
 
+    def child(node, tree, tok, at, d):
+        return _mixed(node * np.uint64(_P[0]) + tok[np.arange(len(tree)), at] * np.uint64(_P[1]) + (at + TOKENS * d).astype(np.uint64) * np.uint64(_P[2]))
 
-MET = "node long, x int, y int, block int, rep long, c long, sketch binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, tree = b["node"].to_numpy().view(np.uint64), b["tree"].to_numpy()
+            tok = np.frombuffer(b"".join(b["tokens"].to_pylist()), "<u4").reshape(-1, TOKENS).astype(np.uint64)
+            row = np.arange(b.num_rows)
+            for d in range(depth, depth + steps):
+                layer, t = TREES * (d % (TOKENS // TREES)), tree[row]
+                two = np.flatnonzero(_mixed(node + np.uint64(_P[3])) % np.uint64(4) == 0)
+                first = child(node, t, tok[row], (t + 5 * d) % TREES + layer, d)
+                second = child(node[two], t[two], tok[row[two]], (t[two] + 5 * d + TREES // 2) % TREES + layer, d)
+                node, row = np.concatenate([first, second]), np.concatenate([row, row[two]])
+            cols = [pa.array(node.view(np.int64)), *(b[c].take(pa.array(row)) for c in ("tree", "rep", "c", "n"))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "tree", "rep", "c", "n"])
 
+    return run
 
-def _meetings(ids: np.ndarray, c: np.ndarray, block: np.ndarray, sk: np.ndarray, within: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows i of a pair of blocks, the rows of other components that may be similar to each, and their agreement."""
-    for i in range(len(ids)):
-        at = np.flatnonzero((c != c[i]) & ((ids > ids[i]) if within else (block > block[i])))
-        eq = (sk[at] == sk[i]).sum(1)
-        good = eq >= CUT * TOKENS
-        if good.any():
-            yield i, at[good], eq[good]
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of equal keys; the rows come sorted by them."""
+    held: dict = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = {n: b[n].to_numpy(zero_copy_only=False) for n in b.schema.names}
+        if held:
+            cols = {n: np.concatenate([held[n], x]) for n, x in cols.items()}
+        new = np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for s, e in zip(cuts, cuts[1:]):
+            yield {n: x[s:e] for n, x in cols.items()}
+        held = {n: x[cuts[-1] :] for n, x in cols.items()}
+    if held:
+        yield held
+
+
+class _Forest:
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _clusters(c: np.ndarray, n: np.ndarray, part: np.ndarray, sketch: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Rows of a block that may be similar to one of another component (and part, if the block has two parts)."""
+    found, across = _Forest(), len(np.unique(part)) > 1
+    for i in range(len(c) - 1):
+        ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+        if across:
+            ok &= part[i + 1 :] != part[i]
+        at = np.flatnonzero(ok) + i + 1
+        if len(at):
+            for j in at[(sketch[at] == sketch[i]).sum(1) >= CUT * TOKENS].tolist():
+                found.join(i, j)
+    out: dict[int, list] = {}
+    for i in sorted(found.parent):
+        out.setdefault(found.root(i), []).append(i)
+    return [np.array(x) for x in out.values()]
+
+
+MET = "cluster long, rep long, c long"
+
+
+def _meeter(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _runs(batches, ["node", "block"]):
+            if len(g["c"]) < 2 or (g["c"] == g["c"][0]).all():
+                continue
+            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, TOKENS)
+            for at in _clusters(g["c"], g["n"], g["part"], sketch, percent):
+                rep = g["rep"][at]
+                name = xxhash.xxh3_64_intdigest(np.unique(rep).tobytes()) - (1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), pa.array(rep), pa.array(g["c"][at])], ["cluster", "rep", "c"])
 
-def _block(rows: pa.Table):
-    sk = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
-    return *(rows[n].to_numpy() for n in ("rep", "c", "block")), sk, rows["x"][0].as_py() == rows["y"][0].as_py()
+    return run
 
 
-def _crowd(rows: pa.Table) -> pa.Table:
-    """The rows of a pair of blocks that meet another one."""
-    meets = np.zeros(rows.num_rows, bool)
-    for i, at, _ in _meetings(*_block(rows)):
-        meets[i] = meets[at] = True
-    return rows.filter(pa.array(meets))
+def links(c: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between rows of different components c whose sets (none empty) are similar: all pairs are counted."""
+    size = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(size)))
+    forest, mark, left, out = _Forest(), np.zeros(len(code), bool), len(np.unique(c)), []
+    for i in range(len(sets) - 1):
+        if left == 1:
+            break
+        own = code[starts[i] : starts[i + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[code[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
+        mark[own] = False
+        for j in (np.flatnonzero((100 * both >= percent * (size[i] + size[i + 1 :] - both)) & (c[i + 1 :] != c[i])) + i + 1).tolist():
+            if forest.join(int(c[i]), int(c[j])):
+                out.append((max(int(c[i]), int(c[j])), min(int(c[i]), int(c[j]))))
+                left -= 1
+    return out
 
 
 def _linker(width: int, percent: int):
-    """Links (a, b) within a pair of blocks, on full sets: a forest, so at most one for each row."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        ids, c, block, sk, within = _block(rows)
-        texts, sets, parent = rows["text"], {}, {}
-
-        def full(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingles(texts[i].as_py(), width)
-            return sets[i]
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        a, b = [], []
-        for i, at, eq in _meetings(ids, c, block, sk, within):
-            for j in at[np.argsort(-eq, kind="stable")].tolist():
-                ri, rj = root(c[i]), root(c[j])
-                if ri != rj and similar(full(i), full(j), percent):
-                    parent[ri] = rj
-                    a.append(max(ids[i], ids[j]))
-                    b.append(min(ids[i], ids[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _confirmer(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, last_set = None, None
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (ta, tb) in enumerate(zip(b["text_a"], b["text_b"])):
-                tb = tb.as_py()
-                if tb != last_text:
-                    last_text, last_set = tb, shingles(tb, width)
-                ok[i] = similar(shingles(ta.as_py(), width), last_set, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(b["a"].to_numpy()[ok]), pa.array(b["b"].to_numpy()[ok])], ["a", "b"])
+        for g in _runs(batches, ["cluster"]):
+            sets = [shingles(t, width) for t in g["text"]]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            if found := links(g["c"][some], [sets[i] for i in some], percent):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=LINK)
 
     return run
 
@@ -231,147 +275,110 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 class _Join:
-    """The state of one run: classes with tokens, confirmed edges, components so far."""
+    """One run of the join over the rows of a table."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, width: int, percent: int):
-        self.spark = df.sparkSession
-        ship(self.spark)
+        ship(df.sparkSession)
         self.width, self.percent = width, percent
         self.rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-        self.features = stored(self.rows.mapInArrow(_featurer(width), "doc_id long, n_shingles long, sig binary, tokens binary"), "features")
-        self.classes = stored(self.features.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
-        reps = self.classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-        chosen = self.features.where("sig is not null").join(lookup(stored(reps, "reps")), "doc_id", "left_semi")
-        self.reps = stored(chosen.select(F.col("doc_id").alias("rep"), "tokens"), "tokens")  # read several times, joined once
-        self.edges: list[DataFrame] = []
-        self.comps: DataFrame | None = None
-
-    def known(self, df: DataFrame, col: str, name: str) -> DataFrame:
-        """df plus `name`: the component of df[col] so far."""
-        if self.comps is None:
-            return df.withColumn(name, F.col(col))
-        return df.join(lookup(self.comps).select(F.col("node").alias(col), F.col("component").alias("c_")), col, "left").withColumn(name, F.coalesce("c_", col)).drop("c_")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        return self.known(self.known(pairs, "a", "ca"), "b", "cb").where("ca <> cb").drop("ca", "cb")
-
-    def level(self, rows: DataFrame, n: int, recheck: bool) -> tuple[list[DataFrame], DataFrame | None]:
-        """rows(node, tree, rep) -> pairs(a, b) of its nodes, and the rows of nodes that branch again."""
-        counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-        counted = stored(counted.where("n > 1 and lo <> hi"), f"nodes{n}")
-        pairs = [counted.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))]
-        members = rows.join(lookup(counted.where("n > 2").select("node", "n")), "node")
-        small = members.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("r"))
-        i = small.select("r", F.posexplode("r").alias("at", "a"))
-        pairs.append(i.select("a", F.explode(F.expr("slice(r, at + 2, size(r))")).alias("b")))
-        big = members.where(F.col("n") > SMALL)
-        if recheck:
-            big = stored(big, f"big{n}")
-            seen = self.known(big, "rep", "c").groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("node")
-            big = big.join(lookup(stored(seen, f"open{n}")), "node", "left_semi")
-        big = stored(big.select("node", "tree", "rep"), f"members{n}")
-        if not big.limit(1).count():
-            return pairs, None
-        h = F.xxhash64("node")
-        leaders = stored(big.groupBy("node").agg(F.min(F.col("rep").bitwiseXOR(h)).alias("x")).select("node", F.col("x").bitwiseXOR(h).alias("leader")), f"leaders{n}")
-        star = big.join(lookup(leaders), "node").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        return [*pairs, star], big
-
-    def branch(self, big: DataFrame, level: int) -> DataFrame:
-        """Rows of the next level: each node on its tree's token, one node in four on another tree's token too."""
-        at = level * TREES * 4
-        slice_ = self.reps.select("rep", F.substring("tokens", at + 1, TREES * 4).alias("tok"))
-        other = F.pmod(F.col("tree") + 5, F.lit(TREES))
-        first = F.xxhash64("node", F.lit(level), "tree", F.substring("tok", F.col("tree") * 4 + 1, F.lit(4)))
-        second = F.xxhash64("node", F.lit(level), other, F.substring("tok", other * 4 + 1, F.lit(4)))
-        both = F.when(F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(4)) == 0, F.array(first, second)).otherwise(F.array(first))
-        return stored(big.join(slice_, "rep").select(F.explode(both).alias("node"), "tree", "rep"), f"rows{level}")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Candidate pairs -> confirmed edges on full sets, merged into the components."""
-        pairs = stored(self.apart(reduce(DataFrame.unionByName, pairs)).distinct(), "pairs")
-        tok = self.reps
-        x = pairs.join(tok.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(tok.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
-        cand = stored(x.mapInArrow(_agreement, "a long, b long, eq int"), "candidates")
-        dropped(pairs)
-        ends = cand.select("a", "b", "eq").unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "eq"))
-        best = ends.groupBy("a").agg(F.max_by("b", "eq").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if self._confirmed(best):
-            rest = stored(self.apart(cand.select("a", "b")), "rest")
-            if rest.limit(1).count():
-                self._confirmed(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-
-    def exhaust(self, crowds: list[DataFrame]) -> None:
-        """Nodes (node, rep) that don't shrink: all their pairs between different components, compared on sketches."""
-        rows = stored(self.known(reduce(DataFrame.unionByName, crowds), "rep", "c"), "crowds")
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        nodes = nodes.select("node", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
-        sketch = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.hex(F.substring("tokens", i * 4 + 1, F.lit(1)))), "")
-        rows = rows.join(lookup(stored(nodes, "crowded")), "node").join(self.reps.select("rep", F.unhex(sketch).alias("sketch")), "rep")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        rows = rows.select("node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "c", "sketch")
-        met = stored(rows.groupBy("node", "x", "y").applyInArrow(_crowd, MET), "met")
-        need = stored(met.select(F.col("rep").alias("id")).distinct(), "met_ids")
-        texts = self.rows.join(lookup(need), "id", "left_semi").select(F.col("id").alias("rep"), F.col("t").alias("text"))
-        found = met.join(texts, "rep").groupBy("node", "x", "y").applyInArrow(_linker(self.width, self.percent), "a long, b long")
-        self.edges.append(stored(found.distinct(), "found"))
-        self.comps = stored(components(reduce(DataFrame.unionByName, self.edges)), "components")
-
-    def _confirmed(self, pairs: DataFrame) -> bool:
-        pairs = stored(pairs, "checked")
-        if not pairs.limit(1).count():
-            return False
-        need = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "need")
+        self.features = stored(self.rows.mapInArrow(_featurer(width), "doc_id long, n_shingles long, sig binary, tokens binary, sketch binary"), "features")
+        with_set = self.features.where("sig is not null").groupBy("sig")
+        self.classes = stored(with_set.agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
+        self.reps = self.classes.where("rep is not null").select("rep", "n", "tokens", "sketch")
+        twice = self.features.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+        self.repeated = stored(twice, "repeated")
+        self.any_repeated = bool(self.repeated.limit(1).count())
+
+    def first_rows(self, reps: DataFrame, trees: range) -> DataFrame:
+        """reps(rep, c, n, tokens) -> ROWS of the trees' first nodes."""
+        node = lambda t: F.xxhash64(F.lit(t), F.substring("tokens", t * 4 + 1, 4))
+        each = F.explode(F.array(*[F.struct(node(t).alias("node"), F.lit(t).alias("tree")) for t in trees])).alias("x")
+        return reps.select(each, "rep", "c", "n").select("x.node", "x.tree", "rep", "c", "n")
+
+    def dealt(self) -> DataFrame:
+        """The first trees' rows in blocks."""
+        rows = self.first_rows(self.reps.withColumn("c", F.col("rep")), range(FIRST))
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("total"), F.sum("n").alias("weight")).where("total > 1")
+        nodes = stored(nodes.select("node", _blocks(F.col("total"), F.col("weight")).alias("blocks")), "first")
+        rows = rows.join(lookup(nodes), "node")
+        return rows.select("node", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).alias("block"), F.lit(0).cast("long").alias("part"), "rep", "c", "n")
+
+    def open_nodes(self, rows: DataFrame) -> DataFrame:
+        """(node, top, blocks, few): the nodes of several components, their largest one, its blocks, and whether few classes lie outside it."""
+        per = rows.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+        node = per.groupBy("node").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("total"), F.sum("w").alias("weight"), F.max(F.struct("k", "c", "w")).alias("top"))
+        few = (F.col("total") - F.col("top.k") <= CROWD) & (F.col("weight") - F.col("top.w") <= CROWD_SHINGLES)
+        return node.where("comps > 1").select("node", F.col("top.c").alias("top"), F.when(few, _blocks(F.col("top.k"), F.col("top.w"))).otherwise(_blocks(F.col("total"), F.col("weight"))).alias("blocks"), few.alias("few"))
+
+    def branched(self, comps: DataFrame) -> list[DataFrame]:
+        """Blocks of the other trees: what lies in open nodes."""
+        known = self.reps.join(lookup(comps).select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
+        known = known.select("rep", F.coalesce("component", "rep").alias("c"), "n", F.substring("tokens", 1, 4 * TREES).alias("tokens"))
+        rows, out, depth = self.first_rows(stored(known, "known"), range(FIRST, TREES)), [], 1
+        block = F.pmod(F.xxhash64("rep", "node"), F.col("blocks"))
+        every = F.expr("sequence(0L, blocks - 1)")
+        for level, steps in enumerate((*STEPS, 0)):
+            nodes = stored(self.open_nodes(rows), f"nodes{level}")
+            opened = rows.join(lookup(nodes), "node")
+            few = opened.where("few").withColumn("block", F.explode(F.when(F.col("c") == F.col("top"), F.array(block)).otherwise(every)))
+            out.append(stored(few.select("node", "block", F.lit(0).cast("long").alias("part"), "rep", "c", "n"), f"few{level}"))
+            if not nodes.where("not few").limit(1).count():
+                return out
+            opened = opened.where("not few")
+            if steps:
+                many = opened.select("node", "tree", "rep", "c", "n").join(self.reps.select("rep", "tokens"), "rep")
+                rows = stored(many.mapInArrow(_brancher(depth, steps), ROWS), f"rows{level}")
+                depth += steps
+        pairs = opened.withColumn("part", block).withColumn("other", F.explode(every))
+        pair = F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")
+        return [*out, stored(pairs.select("node", pair.alias("block"), "part", "rep", "c", "n"), "pairs")]
+
+    def linked(self, blocks: list[DataFrame], name: str) -> DataFrame:
+        """Blocks (node, block, part, rep, c, n) -> components of the components c that their links connect."""
+        rows = reduce(DataFrame.unionByName, blocks).join(self.reps.select("rep", "sketch"), "rep")
+        met = rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep").mapInArrow(_meeter(self.percent), MET)
+        met = stored(met.distinct(), f"met_{name}")
+        need = stored(met.select(F.col("rep").alias("id")).distinct(), f"need_{name}")
         texts = self.rows.join(lookup(need), "id", "left_semi")
-        a = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("text_a")), "a")
-        both = a.join(texts.select(F.col("id").alias("b"), F.col("t").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        self.edges.append(stored(both.mapInArrow(_confirmer(self.width, self.percent), "a long, b long"), "confirmed"))
-        self.comps = stored(components(reduce(DataFrame.unionByName, self.edges)), "components")
-        return True
+        if self.any_repeated:
+            texts = texts.withColumn("h", F.xxhash64("t")).dropDuplicates(["id", "h"])
+        full = met.join(texts.select(F.col("id").alias("rep"), F.col("t").alias("text")), "rep")
+        found = full.repartition("cluster").sortWithinPartitions("cluster", "rep").select("cluster", "c", "text").mapInArrow(_linker(self.width, self.percent), "a long, b long")
+        return stored(components(found), f"components_{name}")
 
     def run(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id."""
-        trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("tokens", t * 4 + 1, 4)).alias("node")) for t in range(TREES)]))
-        first = self.reps.select(trees.alias("x"), "rep").select("x.node", "x.tree", "rep")
-        pairs, big = self.level(first, 0, False)
-        self.confirm(pairs)
-        if big is not None and self.comps is not None:  # what level 0 has shown to be connected needs no more branches
-            open_ = self.known(big, "rep", "c").groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("node")
-            big = stored(big.join(lookup(stored(open_, "open")), "node", "left_semi"), "open_members")
-        more: list[DataFrame] = []
-        crowds: list[DataFrame] = []
-        for level in range(1, LEVELS):
-            if big is None or not big.limit(1).count():
-                break
-            pairs, big = self.level(self.branch(big, level), level, True)
-            more += pairs
-            if big is not None and level >= STUBBORN:
-                last = level == LEVELS - 1
-                sizes = big.groupBy("node").agg(F.count(F.lit(1)).alias("n")).select("node", (F.lit(last) | (F.col("n") <= CROWD)).alias("stays"))
-                big = stored(big.join(lookup(stored(sizes, f"sizes{level}")), "node"), f"sized{level}")
-                crowds.append(big.where("stays").select("node", "rep"))
-                big = big.where("not stays").drop("stays")
-        if more:
-            self.confirm(more)
-        if crowds:
-            self.exhaust(crowds)
-        f = self.features
-        out = f.where("sig is not null").join(lookup(self.classes), "sig")
-        out = self.known(out, "rep", "component_id").select("doc_id", "n_shingles", "component_id")
+        comps = self.linked([self.dealt()], "first")
+        more = self.linked(self.branched(comps), "more")
+        f, of = self.features, self.classes.select("sig", "rep")
+        for n, known in enumerate((comps, more)):
+            of = of.join(lookup(known).select(F.col("node").alias("rep"), F.col("component").alias(f"c{n}")), "rep", "left").select("sig", F.coalesce(f"c{n}", "rep").alias("rep"))
+        out = f.where("sig is not null").join(lookup(stored(of, "of_class")), "sig").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
         return out.unionByName(f.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _blocks(classes: F.Column, weight: F.Column) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(classes / CROWD), F.ceil(weight / CROWD_SHINGLES)).cast("long")
+
+
+def _groups(join: _Join) -> DataFrame:
+    return join.run().withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links are 100 * intersection >= percent * union."""
-    out = _Join(df, id_col, text_col, width, percent).run()
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _groups(_Join(df, id_col, text_col, width, percent))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns."""
-    gone = near_groups(df, id_col, text_col, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(lookup(stored(gone, "gone")), id_col, "left_anti")
+    join = _Join(df, id_col, text_col, width, percent)
+    gone = _groups(join).where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    rows = df.select(whole_row(df), F.col(id_col).cast("long").alias("id")).join(lookup(stored(gone, "gone")), "id", "left_anti")
+    if join.any_repeated:
+        again = lookup(join.repeated)
+        rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    return rows.select("doc.*")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
