@@ -116,6 +116,7 @@ def test_near_around_a_passage(spark, monkeypatch, crowd, steps):
     want = brute_components(rows, 4)
     assert sum(c != d for d, (c, _) in want.items()) == 10
     monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "FEW", crowd)
     monkeypatch.setattr(near_dedup, "STEPS", steps)
     assert near_result(spark.createDataFrame(rows, "doc_id long, text string"), width=4) == want
 

@@ -7,7 +7,7 @@ one token; TREES independent trees give the recall.
 1. The first FIRST trees deal each node to blocks of about CROWD classes, which are compared exhaustively. That connects
    nearly everything that is alike, and large groups of near copies almost wholly.
 2. In the other trees, nodes within one component are done. Of an open node, the classes outside its largest component
-   go to every block of that component, if there are at most CROWD of them (so a node's rows at most double). Otherwise
+   go to every block of that component, if there are at most FEW of them (so a node's rows at most treble). Otherwise
    the node branches again on further tokens: on one, and for one node in four on two (1.25 on average, one over the
    similarity). Nodes that are still crowded after STEPS are compared by pairs of blocks, so nothing is dropped.
 
@@ -45,10 +45,10 @@ from . import _shared
 from ._shared import dropped, memo, ship, stored, table, whole_row
 
 TREES, FIRST, TOKENS, CUT = 16, 2, 96, 0.62
-#: Classes and shingles of a block (one class with more is a block of its own).
-CROWD, CROWD_SHINGLES = 128, 1_000_000
+#: Classes and shingles of a block (one class with more is a block of its own), and classes that may go to every block.
+CROWD, CROWD_SHINGLES, FEW = 256, 1_000_000, 512
 #: Tokens that an open node branches on before it is looked at again.
-STEPS = (1, 1, 2, 4, 4, 4, 4, 4)
+STEPS = (1, 1, 1, 1, 1, 1, 2, 4, 4, 4)
 #: This operator joins many tables in turn, so each is broadcast only while it is small; executors keep them for a while.
 MOST_BROADCAST = 40_000
 REMEMBERED = 300_000
@@ -245,6 +245,7 @@ def _linker(width: int, percent: int):
 
 
 def lookup(df: DataFrame) -> DataFrame:
+    """The shared one at this operator's bound; single columns of ids take the shared bound."""
     return _shared.lookup(df, MOST_BROADCAST)
 
 
@@ -307,7 +308,7 @@ class _Join:
         """(node, top, blocks, few): the nodes of several components, their largest one, its blocks, and whether few classes lie outside it."""
         per = rows.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
         node = per.groupBy("node").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("total"), F.sum("w").alias("weight"), F.max(F.struct("k", "c", "w")).alias("top"))
-        few = (F.col("total") - F.col("top.k") <= CROWD) & (F.col("weight") - F.col("top.w") <= CROWD_SHINGLES)
+        few = (F.col("total") - F.col("top.k") <= FEW) & (F.col("weight") - F.col("top.w") <= CROWD_SHINGLES)
         return node.where("comps > 1").select("node", F.col("top.c").alias("top"), F.when(few, _blocks(F.col("top.k"), F.col("top.w"))).otherwise(_blocks(F.col("total"), F.col("weight"))).alias("blocks"), few.alias("few"))
 
     def branched(self, comps: DataFrame) -> list[DataFrame]:
@@ -339,7 +340,7 @@ class _Join:
         met = rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep").mapInArrow(_meeter(self.percent), MET)
         met = stored(met.distinct(), f"met_{name}")
         need = stored(met.select(F.col("rep").alias("id")).distinct(), f"need_{name}")
-        texts = self.rows.join(lookup(need), "id", "left_semi")
+        texts = self.rows.join(_shared.lookup(need), "id", "left_semi")  # 8 bytes a row
         if self.any_repeated:
             texts = texts.withColumn("h", F.xxhash64("t")).dropDuplicates(["id", "h"])
         full = met.join(texts.select(F.col("id").alias("rep"), F.col("t").alias("text")), "rep")
@@ -374,7 +375,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One document of each group, with all its columns."""
     join = _Join(df, id_col, text_col, width, percent)
     gone = _groups(join).where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    rows = df.select(whole_row(df), F.col(id_col).cast("long").alias("id")).join(lookup(stored(gone, "gone")), "id", "left_anti")
+    rows = df.select(whole_row(df), F.col(id_col).cast("long").alias("id")).join(_shared.lookup(stored(gone, "gone")), "id", "left_anti")
     if join.any_repeated:
         again = lookup(join.repeated)
         rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").dropDuplicates(["id"]))
