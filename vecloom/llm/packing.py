@@ -2,10 +2,12 @@
 
 1. Tokens: each document becomes ids and the end id; only documents longer than a sequence are cut. A task counts its
    pieces per length, so a piece knows its rank among the task's pieces of its length. Stored once in the shared folder.
-2. Plan, on the driver, from the length histogram alone (at most `capacity` numbers, whatever the corpus): long lengths
-   are grouped into classes; the configuration program (fewest sequences, each filled by a pattern of classes, so that
-   every class is covered) is solved by multiplicative weights with a knapsack dynamic program as pricing; patterns are
-   rounded down; what is left and all short lengths are placed best-fit, on counted groups of equal sequences.
+2. Plan, on the driver, from the length histogram alone (at most `capacity` numbers, whatever the corpus): the
+   configuration program (fewest sequences, each filled by a pattern of lengths, so that every length is covered) is
+   solved by multiplicative weights, a knapsack dynamic program being the pricing. Every round rounds its patterns to whole
+   sequences; patterns that would leave room aren't used. What is left is placed best-fit, on counted groups of equal
+   sequences. The program runs for a few curves of its prices; of these plans, taken whole or in part, and best-fit
+   alone, the one of fewest sequences is used, and among those the one that owes most to the program.
 3. Assignment: pieces of one length are interchangeable, so a piece's place follows from its rank among all pieces of
    its length: rank in its task plus the counts of earlier tasks. The plan (ranges of ranks per length) is a closed
    object of a size bounded by the number of lengths; no texts or ids are shuffled, no group is gathered.
@@ -98,50 +100,52 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capac
     return stored(rows.mapInArrow(_piece_maker(tokenizer_path, capacity, end_id), schema), "pieces")
 
 
-def price(values: np.ndarray, units: np.ndarray, room: int) -> list[int]:
-    """Unbounded knapsack: how often each class is taken for the highest value within `room` units."""
+def price(values: np.ndarray, lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: for each room up to `room`, the highest value and the position of a length it ends with (-1: none)."""
+    order = np.argsort(lengths, kind="stable")
+    u, v = lengths[order], values[order]
     top, took = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(units, kind="stable")
-    u, v = units[order], values[order]
+    ends = np.searchsorted(u, np.arange(room + 1), side="right").tolist()
     for c in range(int(u[0]), room + 1):
-        k = int(np.searchsorted(u, c, side="right"))
-        gain = top[c - u[:k]] + v[:k]
+        gain = top[c - u[: ends[c]]] + v[: ends[c]]
         j = int(gain.argmax())
-        if gain[j] > top[c - 1] + 1e-15:
-            top[c], took[c] = gain[j], j
-        else:
-            top[c], took[c] = top[c - 1], -2
-    counts, c = [0] * len(units), room
-    while c > 0 and took[c] != -1:
-        if took[c] == -2:
-            c -= 1
-            continue
-        counts[int(order[took[c]])] += 1
-        c -= int(u[took[c]])
-    return counts
-
-
-def configuration_lp(demand: np.ndarray, units: np.ndarray, room: int, rounds: int = 600, step: float = 0.25) -> dict[tuple, float]:
-    """Nearly fewest patterns (fractional) that cover the demand of each class: multiplicative weights on the classes,
-    each round taking the pattern that the knapsack prices highest, scaled at the end to cover all."""
-    need = demand.astype(float)
-    weight = np.ones(len(need))
-    covered, x = np.zeros(len(need)), defaultdict(float)
-    known: dict[tuple, float] = {}
-    for r in range(rounds):
-        a = price(weight / need, units, room)
-        took = np.array(a, float)
-        size = float((need[took > 0] / took[took > 0]).min())  # as many as the scarcest class of the pattern
-        x[tuple(a)] += size
-        share = took * size / need
-        covered += share
-        weight *= np.exp(-step * share)
-        weight /= weight.sum()
-        known[tuple(a)] = size
-    scale = covered.min()
-    if scale <= 0:
-        return {}
-    return {p: n / scale for p, n in x.items()}
+        top[c], took[c] = gain[j], order[j]
+    return top, took
+
+
+def configuration_program(stock: dict[int, int], capacity: int, curve: float, rounds: int = 40, share: float = 0.25, step: float = 1e-4) -> list[tuple[tuple, int]]:
+    """Patterns ((length, how often), ...) of full sequences, and how many of each; they use no more than the stock.
+
+    Prices are lengths, bent a little so that long ones are used first, times a weight. Each round, one knapsack gives every
+    length the dearest sequence that holds it; of those that are full, whole sequences for a `share` of what is left of the
+    length are taken; then the weights of lengths that lag behind the others grow."""
+    lengths = np.array(sorted(stock, reverse=True))
+    need = np.array([stock[n] for n in lengths.tolist()], np.int64)
+    left, weight, out = need.copy(), 1 + 1e-5 * np.random.Generator(np.random.PCG64(1)).random(len(need)), []
+    for _ in range(rounds):
+        live = np.flatnonzero(left > 0)
+        if not len(live):
+            break
+        u = lengths[live]
+        _, took = price(u / capacity * (1 + curve * u / capacity) * weight[live], u, capacity)
+        before = len(out)
+        for at, i in enumerate(live.tolist()):
+            pattern, room = Counter([i]), capacity - int(u[at])
+            while room > 0 and took[room] >= 0:
+                j = int(took[room])
+                pattern[int(live[j])] += 1
+                room -= int(u[j])
+            if room:
+                continue
+            n = min(min(int(left[j]) // k for j, k in pattern.items()), -(-int(share * left[i]) // pattern[i]) or 1)
+            if n > 0:
+                for j, k in pattern.items():
+                    left[j] -= n * k
+                out.append((tuple((int(lengths[j]), k) for j, k in sorted(pattern.items())), n))
+        if len(out) == before:
+            break
+        weight *= np.exp(step * (left / need - left.sum() / need.sum()))
+    return out
 
 
 def best_fit(groups: list[tuple[tuple, int, int]], stock: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
@@ -175,58 +179,26 @@ def best_fit(groups: list[tuple[tuple, int, int]], stock: dict[int, int], capaci
     return [(held, n) for free in sorted(by_free) for held, n in by_free[free].items() if n]
 
 
-def _take(queues: list[list], heads: list[int], pattern: tuple, todo: int, capacity: int) -> list[tuple[tuple, int, int]]:
-    """Up to todo sequences of a pattern of classes, in groups with actual lengths, taken out of the queues."""
-    groups = []
-    used = [(i, a) for i, a in enumerate(pattern) if a]
-    while todo > 0 and all(sum(c for _, c in queues[i][heads[i] :]) >= a for i, a in used):
-        m = min([todo, *(queues[i][heads[i]][1] // a for i, a in used)])
-        held: Counter = Counter()
-        for i, a in used:
-            need = a * max(m, 1)
-            while need:
-                got = min(need, queues[i][heads[i]][1])
-                held[queues[i][heads[i]][0]] += got // max(m, 1)
-                queues[i][heads[i]][1] -= got
-                need -= got
-                while heads[i] < len(queues[i]) and not queues[i][heads[i]][1]:
-                    heads[i] += 1
-        groups.append((tuple(sorted(held.items(), reverse=True)), capacity - sum(n * k for n, k in held.items()), max(m, 1)))
-        todo -= max(m, 1)
-    return groups
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, least: int | None = None, classes: int = 48, grain: int = 8) -> list[tuple[tuple, int]]:
-    """Groups of equal sequences ((length, how often), ...), how many: packs exactly the pieces of the histogram.
-
-    The program knows long lengths as classes only, so all its patterns together can use up the short lengths that
-    would fill their gaps. Its solution is therefore rounded at several scales and the plan of fewest sequences taken."""
-    least = least or capacity // 16
+CURVES, PARTS = (1e-3, 1e-2, 1e-1), (1.0, 0.75, 0.5, 0.25)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
+    """Groups of equal sequences ((length, how often), ...), how many: packs exactly the pieces of the histogram."""
     stock = {n: c for n, c in histogram.items() if c and n < capacity}
     done = [(((capacity, 1),), histogram[capacity])] if histogram.get(capacity) else []
-    large = sorted((n for n in stock if n > least), reverse=True)
-    total = sum(stock[n] for n in large)
-    if total <= classes:
-        return done + best_fit([], stock, capacity)
-    made, at = [[]], 0
-    for n in large:  # classes of about equal count; a class is as long as its longest
-        if at >= total * len(made) / classes and made[-1]:
-            made.append([])
-        made[-1].append(n)
-        at += stock[n]
-    units = np.array([-(-q[0] // grain) for q in made])
-    x = configuration_lp(np.array([sum(stock[n] for n in q) for q in made]), units, capacity // grain)
-    fill = lambda p: sum(a * int(u) for a, u in zip(p, units))
-    best = None
-    for scale in (1.0, 0.9, 0.75, 0.5, 0.25, 0.1):
-        queues, heads, groups = [[[n, stock[n]] for n in q] for q in made], [0] * len(made), []
-        for pattern, amount in sorted(x.items(), key=lambda p: (-fill(p[0]), -p[1], p[0])):
-            groups += _take(queues, heads, pattern, int(amount * scale), capacity)
-        left = {n: c for n, c in stock.items() if n <= least} | {n: c for q in queues for n, c in q if c}
-        found = best_fit(groups, left, capacity)
-        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
-            best = found
-    return done + best
+    if not stock:
+        return done
+    tried = [(best_fit([], stock, capacity), 0)]
+    for curve in CURVES:
+        patterns = configuration_program(stock, capacity, curve)
+        for part in PARTS:
+            used = patterns[: int(part * len(patterns))]
+            left = Counter(stock)
+            for held, n in used:
+                for length, k in held:
+                    left[length] -= n * k
+            tried.append((best_fit([(held, 0, n) for held, n in used], {n: c for n, c in left.items() if c}, capacity), sum(n for _, n in used)))
+    return done + min(tried, key=lambda x: (sum(n for _, n in x[0]), -x[1]))[0]
 
 
 def ranges(groups: list[tuple[tuple, int]]) -> dict[int, np.ndarray]:
