@@ -1,7 +1,9 @@
 """Language identification by compression: per-language zstandard raw-content dictionaries, smallest length wins.
 
-A bounded sample of training documents per language (`sample_docs` documents, chosen by a hash of the id) gives its
-words; those in at least two documents, the most frequent last, become a raw-content dictionary of up to `dict_bytes`.
+A bounded sample of training documents per language (`sample_docs` documents, those of the lowest hashes of the id, up to
+`sample_chars` characters of each, for the `most_langs` most frequent languages) gives its words, and of scripts without
+blanks and of words over LONG_WORD characters the segments of SEGMENT characters; those in at least two documents, the most
+frequent last, become a raw-content dictionary of up to `dict_bytes`.
 Every whole text is compressed in windows with each dictionary; the language with the smallest total wins, and a text
 whose runner-up is nearer than `least_margin` (relative) is rejected. A short window is followed by zeros, which cost
 every dictionary alike but keep zstandard from storing it uncompressed, so that single words count.
@@ -13,17 +15,20 @@ held-out fold; repeated rows are scored each; an empty table gives no rows; extr
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import memo, ship, table, whole_row
 
-SAMPLE_DOCS, DICT_BYTES, WINDOW, SHORT, LEAST_MARGIN = 300, 48 << 10, 2048, 256, 0.002
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGS, DICT_BYTES, WINDOW, SHORT, LEAST_MARGIN = 300, 50_000, 200, 48 << 10, 2048, 256, 0.002
+LONG_WORD, SEGMENT = 24, 3
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")  # Thai, Lao, Burmese, Khmer, kana, Han
 FILLER = bytes(512)
 
 
@@ -36,10 +41,22 @@ def _clean(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
+def _units(text: str) -> set[bytes]:
+    """Words; segments where blanks don't part words."""
+    out = set()
+    for w in text.lower().split():
+        runs = [w] if len(w) > LONG_WORD else _UNSPACED.findall(w)
+        for run in runs:
+            out.update(run[i : i + SEGMENT] for i in range(max(1, len(run) - SEGMENT + 1)))
+        if not runs:
+            out.add(w)
+    return {_clean(w) for w in out}
+
+
 def dictionary(texts: list[str], dict_bytes: int = DICT_BYTES) -> bytes:
     seen: Counter = Counter()
     for t in texts:
-        seen.update(set(_clean(t).split()))
+        seen.update(_units(t))
     least, chosen, size = min(2, len(texts)), [], 0
     for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
         if n < least or size + len(w) + 1 > dict_bytes:
@@ -49,21 +66,21 @@ def dictionary(texts: list[str], dict_bytes: int = DICT_BYTES) -> bytes:
     return b" ".join(reversed(chosen)) + b" "
 
 
-def train(df: DataFrame, text_col: str, lang_col: str, key, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """lang -> dictionary. key: a column whose hash chooses the sample. The driver holds sample_docs texts a language."""
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"), F.col(text_col).alias("t"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = {}
-    share = F.pmod(F.col("h"), F.lit(1 << 20))
-    want = F.lit(False)
-    for lang, n in counts.items():
-        want = want | ((F.col("lang") == lang) & (share < int((1 << 20) * min(1.0, 2 * sample_docs / n)) + 1))
-    got: dict[str, list] = {}
-    for r in rows.where(want).limit(4 * sample_docs * max(1, len(counts))).collect():
-        got.setdefault(r["lang"], []).append((r["h"], r["t"]))
-    for lang, texts in sorted(got.items()):
-        chosen = list(dict.fromkeys(t for _, t in sorted(texts)))[:sample_docs]
-        out[lang] = dictionary(chosen, dict_bytes)
+def train(df: DataFrame, text_col: str, lang_col: str, key, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, sample_chars: int = SAMPLE_CHARS, most_langs: int = MOST_LANGS) -> dict[str, bytes]:
+    """lang -> dictionary. key: a column whose hash chooses the sample. The driver holds one language's sample at a time."""
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"), F.substring(text_col, 1, sample_chars).alias("t"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_langs)
+    likely = F.pmod("h", F.lit(1 << 20)) <= (1 << 20) * F.least(F.lit(1.0), 2 * sample_docs / F.col("n"))  # about twice the sample, so that few texts are sorted
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    chosen = rows.join(F.broadcast(counts), "lang").where(likely).withColumn("at", first).where(F.col("at") <= sample_docs)
+    out, texts, now = {}, [], None
+    for r in chosen.select("lang", "t").orderBy("lang", "at").toLocalIterator():
+        if now is not None and r["lang"] != now:
+            out[now], texts = dictionary(list(dict.fromkeys(texts)), dict_bytes), []
+        now = r["lang"]
+        texts.append(r["t"])
+    if now is not None:
+        out[now] = dictionary(list(dict.fromkeys(texts)), dict_bytes)
     return out
 
 
