@@ -67,7 +67,7 @@ def test_collapse_ignores_keys_of_dropped_rows(spark):
 
 def test_interleave_and_recall(spark):
     df = spark.createDataFrame([(s, i) for s, n in (("a", 3), ("b", 1), ("c", 2)) for i in range(n)], "source string, ord long")
-    got = [(r["source"], r["ord"]) for r in ranking.interleave(df, "source", "ord", 3).orderBy("global_id").collect()]
+    got = [(r["source"], r["ord"]) for r in ranking.interleave(df, "source", "ord").orderBy("global_id").collect()]
     assert got == [("a", 0), ("b", 0), ("c", 0), ("a", 1), ("c", 1), ("a", 2)]
     a = spark.createDataFrame([(0, 1), (0, 2)], "qid long, id long")
     b = spark.createDataFrame([(0, 2), (0, 3)], "qid long, id long")
@@ -77,3 +77,29 @@ def test_interleave_and_recall(spark):
 def test_mean_pool(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "s array<array<float>>, m array<int>")
     assert df.select(V.mean_pool(F.col("s"), F.col("m"))).first()[0] == [2.0, 3.0]
+
+
+@pytest.mark.parametrize("parts", [None, 13])
+def test_prefix_sums_with_a_payload(spark, parts):
+    """Ten thousand rows, whole texts carried along, against DuckDB."""
+    import duckdb
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    df = spark.read.parquet(path)
+    df = df.repartition(parts) if parts else df
+    got = ranking.byte_offsets(ranking.interleave(df, "source", "doc_id"), "doc_id", "text").select("doc_id", "global_id", "offset_start", "offset_end", F.length("text"))
+    want = duckdb.sql(f"""SELECT doc_id, row_number() OVER (ORDER BY rn, source) - 1, CAST(sum(strlen(text)) OVER o - strlen(text) AS BIGINT), CAST(sum(strlen(text)) OVER o AS BIGINT), length(text)
+        FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn FROM '{path}') WINDOW o AS (ORDER BY doc_id)""").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_prefix_sums_edges(spark):
+    df = spark.createDataFrame([(None, 1, None), ("b", 2, "xé"), ("a", 3, "y"), (None, 4, "z")], "source string, ord long, text string")
+    assert [r["ord"] for r in ranking.interleave(df, "source", "ord").orderBy("global_id").collect()] == [1, 3, 2, 4]
+    offsets = ranking.byte_offsets(df, "ord", "text")
+    assert [(r["offset_start"], r["offset_end"]) for r in offsets.orderBy("ord").collect()] == [(0, 0), (0, 3), (3, 4), (4, 5)]
+    assert [r["offset"] for r in ranking.offset_entries(offsets).orderBy("entry").collect()] == [0, 0, 3, 4, 5]
+    empty = df.limit(0)
+    assert ranking.interleave(empty, "source", "ord").count() == 0 and [tuple(r) for r in ranking.offset_entries(ranking.byte_offsets(empty, "ord", "text")).collect()] == [(0, 0)]
+    with pytest.raises(ValueError, match="offset_start"):
+        ranking.byte_offsets(offsets, "ord", "text")

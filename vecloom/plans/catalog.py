@@ -253,14 +253,21 @@ def source_limit(spark, d):
     return ranking.per_source_limit(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 7)
 
 
-@query("SELECT doc_id, source, row_number() OVER (ORDER BY rn, source) - 1 AS global_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn FROM documents)")
+@query("SELECT doc_id, source, n_chars, sha256(text) AS text_sha256, row_number() OVER (ORDER BY rn, source) - 1 AS global_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn FROM documents)")
 def source_interleave(spark, d):
-    return ranking.interleave(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+    out = ranking.interleave(_t(spark, d, "documents"), "source", "doc_id")
+    return out.select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "global_id")
 
 
-@query("SELECT doc_id, CAST(sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS BIGINT) AS offset_start, CAST(sum(strlen(text)) OVER (ORDER BY doc_id) AS BIGINT) AS offset_end FROM documents")
+@query("SELECT doc_id, source, sha256(text) AS text_sha256, CAST(sum(strlen(text)) OVER (ORDER BY doc_id) - strlen(text) AS BIGINT) AS offset_start, CAST(sum(strlen(text)) OVER (ORDER BY doc_id) AS BIGINT) AS offset_end FROM documents")
 def store_offsets(spark, d):
-    return ranking.byte_offsets(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "offset_start", "offset_end")
+    out = ranking.byte_offsets(_t(spark, d, "documents"), "doc_id", "text")
+    return out.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), "offset_start", "offset_end")
+
+
+@query("WITH o AS (SELECT doc_id, strlen(text) AS n, sum(strlen(text)) OVER (ORDER BY doc_id) AS e FROM documents) SELECT row_number() OVER (ORDER BY e - n, e) - 1 AS entry, CAST(e - n AS BIGINT) AS offset FROM o UNION ALL SELECT count(*), CAST(sum(n) AS BIGINT) FROM o")
+def store_offset_entries(spark, d):
+    return ranking.offset_entries(ranking.byte_offsets(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
 
 
 @query("SELECT count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS dim, CAST(ceil(max(len(embedding)) / 16.0) * 16 AS INTEGER) AS dpad, CAST(ceil(max(len(embedding)) / 16.0) * 16 + 4 AS INTEGER) AS bytes_per_vector, count(DISTINCT label) AS sources FROM embeddings")

@@ -1,12 +1,13 @@
-"""Sending this package to the executors."""
+"""Sending this package to the executors, and tables in the folder that they share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession | None) -> None:
@@ -20,3 +21,25 @@ def ship(spark: SparkSession | None) -> None:
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(target))
     spark.sparkContext._vecloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Where that is unset: a folder of our own, in local mode only."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = getattr(spark.sparkContext, "_vecloom_own_dir", None)
+        if not d:
+            d = "file://" + tempfile.mkdtemp(prefix="vecloom-shared-")
+            spark.sparkContext._vecloom_own_dir = d
+    return d.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, gives exact sizes to the planner."""
+    path = f"{shared_dir(df.sparkSession)}/vecloom-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vecloom_path = path
+    return out
