@@ -1,5 +1,6 @@
 """The training-data operators on a fixture of nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -389,6 +390,129 @@ def test_sql(spark, sf, name):
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted((tuple(r[names.index(c)] for c in cols) for r in e.fetchall()), key=repr)
 
 
+def filled(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """source -> target: pour into the sources by weight until all is given, those that are full stepping out."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    open_, out, due = set(names), {}, share * sum(sizes.values())
+    while open_:
+        level = due / sum(w[s] for s in open_)
+        full = {s for s in open_ if level * w[s] > most * sizes[s]}
+        if not full:
+            return out | {s: level * w[s] for s in open_}
+        for s in full:
+            out[s] = most * sizes[s]
+            due -= out[s]
+        open_ -= full
+    return out
+
+
+def sizes_of(rows):
+    out = defaultdict(int)
+    for r in rows:
+        out[r[3]] += len(WORD.findall(r[1] or ""))
+    return dict(out)
+
+
+def near_targets(rows, taken):
+    """taken: source -> words. Near: by no more than a middling document of the source, or 2 %."""
+    size = defaultdict(list)
+    for r in rows:
+        size[r[3]].append(len(WORD.findall(r[1] or "")))
+    for s, t in filled(sizes_of(rows)).items():
+        assert abs(taken.get(s, 0) - t) <= max(0.02 * t, sorted(size[s])[len(size[s]) // 2], 1 if max(size[s]) < 2 else max(size[s]) / 2 if len(size[s]) < 20 else 0), s
+
+
+def test_mix_query_against_direct_targets(spark, sf, rows, docs):
+    for d in (sf, sf.replace("0.001", "0.1")):
+        got = registry.QUERIES["op6_mix_sources"](spark, d).collect()
+        want = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+        of = {r[0]: r for r in want}
+        sizes, target = sizes_of(want), filled(sizes_of(want))
+        assert sorted(r["doc_id"] for r in got) == sorted(of)
+        taken = defaultdict(int)
+        for r in got:
+            n, s = len(WORD.findall(of[r["doc_id"]][1] or "")), of[r["doc_id"]][3]
+            assert r["size"] == n and r["taken"] in (0, n, 2 * n) and r["source_size"] == sizes[s]
+            assert r["target"] == pytest.approx(target[s])
+            taken[s] += r["taken"]
+        near_targets(want, taken)
+    many = spark.createDataFrame([(i % 7, "a b c" if i % 3 else "d", f"host{i % 500}") for i in range(4000)], "doc_id long, text string, source string")
+    got = mixing.mix(mixing._sizes(many, "doc_id", "text", "source"), block_rows=16).collect()  # repeated rows, and many sources
+    per = {s: sum(r["size"] for r in got if r["source"] == s) for s in {r["source"] for r in got}}
+    target = filled(per)
+    assert len(got) == 4000 and all(r["target"] == pytest.approx(target[r["source"]]) for r in got)
+    one = spark.createDataFrame([(1, "a b", "x")] * 3000, "doc_id long, text string, source string")
+    assert sum(r["copies"] * r["size"] for r in mixing.mix(mixing._sizes(one, "doc_id", "text", "source"), block_rows=64).collect()) == pytest.approx(9000, abs=10)
+
+
+def test_warc_appends_and_reads_foreign_files(spark, tmp_path):
+    path = f"file://{tmp_path}/twice"
+    pages = spark.createDataFrame([(i, f"http://{i}", "x" * i) for i in range(5)], "page_id long, url string, html string")
+    for _ in range(2):
+        warc.write_warc(warc.with_revisits(pages, "page_id", "url", "html", 1000), path)
+    assert sorted(r["record_id"] for r in warc.read_warc(spark, path).collect()) == sorted(f"urn:page:{i}" for i in range(5) for _ in range(2))
+    body = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nabcd\r\n3;x=y\r\nefg\r\n0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nnot chunked"
+    out = b""
+    for i, b in enumerate((body, plain)):
+        out += b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID:\r\n <urn:%d>\r\nContent-Type: application/http;\r\n\tmsgtype=response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b)
+    for name, data in (("a.warc", out), ("b.warc.gz", gzip.compress(out))):
+        (tmp_path / name).write_bytes(data)
+        got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()}
+        assert got == {"urn:0": b"abcdefg", "urn:1": b"not chunked"}
+    (tmp_path / "c.warc").write_bytes(out[:-20])
+    with pytest.raises(Exception, match="ends early"):
+        warc.read_warc(spark, f"file://{tmp_path}/c.warc").collect()
+
+
+@pytest.mark.parametrize("which", ["documents", "fixture"])
+def test_pipeline_stages_against_brute_force(spark, sf, docs, which):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    before = spark.read.parquet(f"{sf}/documents.parquet") if which == "documents" else docs
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    take = lambda name: stages[name](spark, before, sf).cache()
+
+    model, after = language_id._train_documents(before), take("language_id")
+    kept = [r for r in plain(before) if language_id.identify(r[1], model)[2] >= language_id.LEAST_MARGIN]
+    assert after.columns == before.columns and plain(after) == kept and len(kept) > 0.5 * before.count()
+
+    before, after = after, None
+    after, top = take("exact_dedup"), {}
+    for r in plain(before):
+        if r[1] not in top or top[r[1]][0] is None or (r[0] is not None and r[0] > top[r[1]][0]):
+            top[r[1]] = r
+    assert plain(after) == sorted(top.values(), key=repr)
+
+    before = after
+    after, want = take("near_dedup"), brute_components(plain(before), 5)
+    assert plain(after) == [r for r in plain(before) if r[0] is None or want[r[0]][0] == r[0]]
+
+    before = after
+    after, times = take("mix_sources"), defaultdict(int)
+    for r in plain(after):
+        times[r] += 1
+    taken = defaultdict(int)
+    for r, n in times.items():
+        taken[r[3]] += n * len(WORD.findall(r[1] or ""))
+    assert set(times) <= set(plain(before)) and max(times.values()) <= 2
+    near_targets(plain(before), taken)
+
+    before = after
+    got, want = take("pack").collect(), []
+    tok = packing._tokenizer(packing.default_tokenizer())[0]
+    for r in plain(before):
+        ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        want += [repr((r[0], i, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()))) for i, s in enumerate(range(0, len(ids), 2048))]
+    assert sorted(repr(tuple(r)[:5]) for r in got) == sorted(want)
+    h = defaultdict(int)
+    for r in got:
+        h[r["length"]] += 1
+    assert len({r["sequence_id"] for r in got}) <= sum(n for _, n in packing.best_fit([], h, 2048))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

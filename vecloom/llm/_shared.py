@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,28 +50,11 @@ def ship(spark: SparkSession) -> None:
     runtime.ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a folder of our own only where that is unset, as in tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = getattr(spark.sparkContext, "_vecloom_own_dir", None)
-        if not d:
-            d = "file://" + tempfile.mkdtemp(prefix="vecloom-shared-")
-            spark.sparkContext._vecloom_own_dir = d
-    return d.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vecloom-{uuid.uuid4().hex}/{name}"
+    return f"{runtime.shared_dir(spark)}/vecloom-{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, gives exact sizes to the planner."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._vecloom_path = path
-    return out
+stored = runtime.written
 
 
 def dropped(df: DataFrame) -> None:

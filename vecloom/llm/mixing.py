@@ -8,8 +8,10 @@ documents (three of them kept out of flight, spread over the sizes), which meet
 that the last flight leaves and a few it was kept from, spread over the sizes. Landing takes the subset of these that
 comes nearest to the tokens still due.
 
-Targets come from water filling in window functions over the table of sources (one row per source), joined back by a
-broadcast whose rows are counted. Everything after the first scan works on (id, source, size) rows.
+Targets come from water filling over the table of sources (one row per source), by running sums over ranges of it, so that
+a source per host is no burden; they are joined back by a broadcast whose rows are counted. Everything after the first
+scan works on (id, source, size) rows. Rows are dealt to blocks by a hash of id and size; repeated rows, which would all
+meet in one block, by a number of their own too.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; documents of size 0 are taken
 with count balance only; repeated rows are separate documents; ties are broken by id, then size, so reruns agree; an
@@ -23,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import prefix_sums
 from ._shared import lookup, ship, stored, table, whole_row
 
 WEIGHTS = (5, 2, 1)
@@ -41,17 +44,18 @@ def words(text) -> F.Column:
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) from rows (source, size): shares by weight, capped at most * size, excess reshared."""
-    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    every = Window.partitionBy(F.lit(1))
-    ranked = per.withColumn("at", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("cap", most * F.col("source_size")).withColumn("total", share * F.sum("source_size").over(every))
-    ahead = every.orderBy(F.col("cap") / F.col("w"), "at").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(ahead), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level).withColumn("capped", F.col("level") * F.col("w") >= F.col("cap"))
+    per = stored(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
+    every = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all")).first()["all"] * share
+    ranked = prefix_sums(per, [F.col("source").asc_nulls_last()], {"at": F.lit(1).cast("long")})
+    w = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    ranked = stored(ranked.withColumn("w", w).withColumn("cap", most * F.col("source_size")), "weighed")
+    all_w = ranked.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()["w"]
     # sources in order of cap per weight are capped up to a point; the first that isn't gives everybody's level
-    ranked = ranked.withColumn("open_level", F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("w"), "at", "level"))).over(every)["level"])
-    return ranked.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("open_level") * F.col("w")).cast("double").alias("target"))
+    ranked = prefix_sums(ranked.withColumn("steep", F.col("cap") / F.col("w")), ["steep", "at"], {"cap_before": F.col("cap"), "w_before": F.col("w")})
+    ranked = stored(ranked.withColumn("level", (F.lit(every) - F.col("cap_before")) / (F.lit(all_w) - F.col("w_before"))), "levels")
+    level = ranked.where(F.col("level") * F.col("w") < F.col("cap")).agg(F.min(F.struct("steep", "at", "level"))["level"].alias("level")).first()["level"]
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))
+    return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def flight(p: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
@@ -140,13 +144,20 @@ def _fly_block(last: bool, level: int):
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, source, size, n) -> plus source_size, target, copies (whole times the row is taken). n: any number that tells rows apart."""
     ship(sizes.sparkSession)
-    sizes = stored(sizes, "sizes")
+    sizes = stored(sizes.withColumn("own", F.monotonically_increasing_id()), "sizes")
     targets = stored(source_targets(sizes, weights, share, most), "targets")
     same = F.col("t.source").eqNullSafe(F.col("s.source"))
     joined = sizes.alias("s").join(lookup(targets).alias("t"), same).select("s.*", "source_size", "target")
     m = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("m", m).withColumn("base", F.least(F.floor("m"), F.lit(int(most)))).withColumn("p", F.col("m") - F.col("base"))
-    rows = joined.select("id", "source", "size", "n", "source_size", "target", "base", F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p")).alias("p"), F.xxhash64("id", "size", "n").alias("h"))
+    h = F.xxhash64("id", "size", "n")
+    again = stored(sizes.groupBy(h.alias("h")).count().where("count > 1").select("h"), "repeated")
+    if again.limit(1).count():
+        joined = joined.withColumn("h", h).join(lookup(again), "h", "left_semi").withColumn("h", F.xxhash64("h", "own")).unionByName(joined.withColumn("h", h).join(lookup(again), "h", "left_anti"))
+    else:
+        joined = joined.withColumn("h", h)
+    p = F.when(F.col("p") < 1e-9, 0.0).when(F.col("p") > 1 - 1e-9, 1.0).otherwise(F.col("p")).alias("p")
+    rows = joined.select("id", "source", "size", "n", "source_size", "target", "base", p, "h")
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     settled, undecided, level = [rows.where(~open_)], rows.where(open_), 0
     while True:

@@ -93,14 +93,12 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     if n > 4 * k and shared:
         by_id = np.argsort(ids, kind="stable")
         scores, ids = scores[:, by_id], ids[by_id]
-        kth = np.partition(scores, n - k, axis=1)[:, n - k]
         if (scores > (1 << 40)).any() or (scores[scores != LOW] < -(1 << 40)).any() or n >= 1 << 20:
             order = np.argsort(-scores.astype(object), axis=1, kind="stable")[:, :k]
         else:
             key = np.where(scores == LOW, -(1 << 62), (scores << 20) - np.arange(n))
             top = np.argpartition(key, n - k, axis=1)[:, n - k :]
             order = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
-        del kth
         return np.take_along_axis(scores, order, 1), ids[order]
     full = np.broadcast_to(ids, scores.shape)
     order = np.stack([np.lexsort((full[i], [-int(s) for s in scores[i]] if (scores[i] == LOW).any() else -scores[i]))[:k] for i in range(len(scores))]) if len(scores) else np.zeros((0, min(k, n)), int)

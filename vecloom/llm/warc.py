@@ -5,8 +5,9 @@ target URI, record id, digest and refers-to are pushed into the reader, headers
 record that no predicate wants is skipped undecoded: plain files seek over it, gzip members that carry their length
 (the "sl" extra field this writer adds) are jumped over without inflating. Other gzip files are streamed.
 
-Writing: one file series per task under a name of its own attempt; the commit writes a manifest of the files of
-successful attempts, and reading a folder with a manifest reads only those, so lost executors leave no doubles.
+Writing: one file series per task under a name of its own attempt; each commit writes a manifest of the files of its
+successful attempts, and reading a folder with manifests reads only what they name, so lost executors leave no doubles and
+appended tables add up. Header lines may be folded; a chunked transfer coding is undone; content codings stay as they are.
 
 Options: path; compression gzip (default) or none; payload true/false (reading: leave payloads null and undecoded);
 file_mb (size at which the writer opens the next file); partition_mb (small files read together up to this).
@@ -22,6 +23,7 @@ import base64
 import gzip
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,8 +37,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ._shared import lookup, scratch_path, ship, stored, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 PUSHED = {"record_id", "record_type", "target_uri", "refers_to", "payload_digest"}
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -87,8 +90,13 @@ def _headers(raw: bytes) -> dict:
     lines = raw.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    h = {}
+    h, unfolded = {}, []
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and unfolded:
+            unfolded[-1] += " " + line.strip()
+        else:
+            unfolded.append(line)
+    for line in unfolded:
         name, colon, value = line.partition(":")
         if colon:
             h[name.strip().lower()] = value.strip()
@@ -107,10 +115,23 @@ def _row(h: dict) -> dict:
 
 def _payload(h: dict, block: bytes) -> bytes:
     if h.get("content-type", "").startswith("application/http"):
-        return block.partition(b"\r\n\r\n")[2]
+        head, _, body = block.partition(b"\r\n\r\n")
+        return _unchunked(body) if re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b", head) else body
     return block
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The body without chunk sizes; as it is, where it isn't chunked in truth."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        n, at = int(m[1], 16), m.end()
+        if not n:
+            return b"".join(out)
+        out.append(body[at : at + n])
+        at += n + 2
+    return body
+
+
 def _stream_records(f, want, payload: bool) -> Iterator[dict]:
     """Records of a readable (and perhaps seekable) stream."""
     seekable = isinstance(f, io.BufferedReader)
@@ -227,10 +248,12 @@ class WarcReader(DataSourceReader):
         system, path = _fs(self.path)
         infos = system.get_file_info(fs.FileSelector(path, recursive=True)) if system.get_file_info(path).type == fs.FileType.Directory else [system.get_file_info(path)]
         sizes = {i.path: i.size for i in infos if i.type == fs.FileType.File}
-        manifest = next((p for p in sizes if p.endswith("/" + MANIFEST)), None)
-        if manifest:
-            with system.open_input_file(manifest) as f:
-                names = set(json.loads(f.read()))
+        manifests = [p for p in sizes if p.rsplit("/", 1)[1].startswith(MANIFEST)]
+        if manifests:
+            names = set()
+            for p in manifests:
+                with system.open_input_file(p) as f:
+                    names.update(json.loads(f.read()))
             sizes = {p: n for p, n in sizes.items() if p.rsplit("/", 1)[1] in names}
         parts, held, total = [], [], 0
         for p in sorted(p for p in sizes if p.endswith((".warc", ".warc.gz"))):
@@ -282,7 +305,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, path = _fs(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{MANIFEST}") as f:
+        with system.open_output_stream(f"{path}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
 
     def abort(self, messages: list) -> None:
@@ -314,7 +337,7 @@ def register(spark: SparkSession) -> None:
 
 
 def write_warc(df: DataFrame, path: str, **options) -> None:
-    """Write rows of SCHEMA as WARC files below a new path."""
+    """Add rows of SCHEMA as WARC files below a path."""
     register(df.sparkSession)
     df.select(*[x.split(" ")[0] for x in SCHEMA.split(", ")]).write.format("warc").options(**options).mode("append").save(path)
 
