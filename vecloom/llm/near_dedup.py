@@ -51,6 +51,8 @@ CROWD, CROWD_SHINGLES, FEW = 256, 1_000_000, 512
 STEPS = (1, 1, 1, 1, 1, 1, 2, 4, 4, 4)
 #: This operator joins many tables in turn, so each is broadcast only while it is small; executors keep them for a while.
 MOST_BROADCAST = 40_000
+#: Rows (of 24 bytes) of clusters up to which they are broadcast to the texts; beyond it texts are shuffled to them.
+MOST_MET = 400_000
 REMEMBERED = 300_000
 _P = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _rng = np.random.Generator(np.random.PCG64(20_231))
@@ -304,12 +306,16 @@ class _Join:
         rows = rows.join(lookup(nodes), "node")
         return rows.select("node", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).alias("block"), F.lit(0).cast("long").alias("part"), "rep", "c", "n")
 
-    def open_nodes(self, rows: DataFrame) -> DataFrame:
-        """(node, top, blocks, few): the nodes of several components, their largest one, its blocks, and whether few classes lie outside it."""
+    def opened(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of nodes of several components, and (node, top, blocks, few): a node's largest component, its blocks, and whether few classes lie outside it."""
+        ends = rows.groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("node")
+        rows = rows.join(_shared.lookup(stored(ends, f"open{level}")), "node", "left_semi")
+        rows = stored(rows, f"opened{level}")
         per = rows.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
-        node = per.groupBy("node").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("total"), F.sum("w").alias("weight"), F.max(F.struct("k", "c", "w")).alias("top"))
+        node = per.groupBy("node").agg(F.sum("k").alias("total"), F.sum("w").alias("weight"), F.max(F.struct("k", "c", "w")).alias("top"))
         few = (F.col("total") - F.col("top.k") <= FEW) & (F.col("weight") - F.col("top.w") <= CROWD_SHINGLES)
-        return node.where("comps > 1").select("node", F.col("top.c").alias("top"), F.when(few, _blocks(F.col("top.k"), F.col("top.w"))).otherwise(_blocks(F.col("total"), F.col("weight"))).alias("blocks"), few.alias("few"))
+        blocks = F.when(few, _blocks(F.col("top.k"), F.col("top.w"))).otherwise(_blocks(F.col("total"), F.col("weight")))
+        return rows, stored(node.select("node", F.col("top.c").alias("top"), blocks.alias("blocks"), few.alias("few")), f"nodes{level}")
 
     def branched(self, comps: DataFrame) -> list[DataFrame]:
         """Blocks of the other trees: what lies in open nodes."""
@@ -319,7 +325,7 @@ class _Join:
         block = F.pmod(F.xxhash64("rep", "node"), F.col("blocks"))
         every = F.expr("sequence(0L, blocks - 1)")
         for level, steps in enumerate((*STEPS, 0)):
-            nodes = stored(self.open_nodes(rows), f"nodes{level}")
+            rows, nodes = self.opened(rows, level)
             opened = rows.join(lookup(nodes), "node")
             few = opened.where("few").withColumn("block", F.explode(F.when(F.col("c") == F.col("top"), F.array(block)).otherwise(every)))
             out.append(stored(few.select("node", "block", F.lit(0).cast("long").alias("part"), "rep", "c", "n"), f"few{level}"))
@@ -339,11 +345,10 @@ class _Join:
         rows = reduce(DataFrame.unionByName, blocks).join(self.reps.select("rep", "sketch"), "rep")
         met = rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep").mapInArrow(_meeter(self.percent), MET)
         met = stored(met.distinct(), f"met_{name}")
-        need = stored(met.select(F.col("rep").alias("id")).distinct(), f"need_{name}")
-        texts = self.rows.join(_shared.lookup(need), "id", "left_semi")  # 8 bytes a row
+        texts = self.rows.select(F.col("id").alias("rep"), F.col("t").alias("text"))
+        full = texts.join(_shared.lookup(met, MOST_MET), "rep")  # texts move once, to their clusters, while met is small
         if self.any_repeated:
-            texts = texts.withColumn("h", F.xxhash64("t")).dropDuplicates(["id", "h"])
-        full = met.join(texts.select(F.col("id").alias("rep"), F.col("t").alias("text")), "rep")
+            full = full.dropDuplicates(["cluster", "rep", "text"])
         found = full.repartition("cluster").sortWithinPartitions("cluster", "rep").select("cluster", "c", "text").mapInArrow(_linker(self.width, self.percent), "a long, b long")
         return stored(components(found), f"components_{name}")
 
