@@ -103,3 +103,37 @@ def test_prefix_sums_edges(spark):
     assert ranking.interleave(empty, "source", "ord").count() == 0 and [tuple(r) for r in ranking.offset_entries(ranking.byte_offsets(empty, "ord", "text")).collect()] == [(0, 0)]
     with pytest.raises(ValueError, match="offset_start"):
         ranking.byte_offsets(offsets, "ord", "text")
+
+
+def test_exact_search_breaks_ties_by_id(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = np.repeat(r.normal(size=(30, 33)), 40, axis=0)  # every vector forty times
+    rows = frame(spark, x).repartition(3)
+    q = rows.where("id % 200 = 0").withColumnRenamed("id", "qid")
+    want = [(i, n + 1, int(j)) for i in range(0, 1200, 200) for n, j in enumerate(sorted(range(1200), key=lambda j: (-round(float(x[i] @ x[j]), 9), j))[:50])]
+    for group in (2048, 2):
+        monkeypatch.setattr(search, "GROUP", group)
+        assert sorted(tuple(h)[:3] for h in search.search_exact(rows, q, 50).collect()) == want
+    assert search.search_exact(rows.limit(0), q, 5).count() == search.search_exact(rows, q.limit(0), 5).count() == 0
+
+
+def test_search_requests(spark):
+    assert [search.clamped(k) for k in (-3, 0, 7, 1000)] == [1, 1, 7, 100] and search.fetch_depth(100) == 400
+    assert search.check_query(" x ") == " x "
+    for bad in ("", " \n", "x" * 513, None):
+        with pytest.raises(ValueError):
+            search.check_query(bad)
+    df = spark.createDataFrame([("a",), ("  ",), ("x" * 513,), (None,)], "q string")
+    assert [r[0] for r in df.select(search.query_faults(F.col("q"))).collect()] == [None, "empty", "too long", "empty"]
+    index = VectorIndex.from_floats(frame(spark, np.eye(4) + 0.1), "id", "v", 4)
+    q = index.quantize_queries(frame(spark, np.eye(4)[:2]), "id", "v")
+    passages = spark.createDataFrame([(0, "u", "a"), (1, "u", "b"), (2, "", "c"), (3, "", "c")], "id long, url string, text string")
+    got = sorted((r["qid"], r["shown"], r["id"], r["text"]) for r in index.search_passages(q, passages, 3).collect())
+    assert got == [(0, 1, 0, "a"), (0, 2, 2, "c"), (1, 1, 1, "b"), (1, 2, 2, "c")]
+    with pytest.raises(ValueError, match="at most"):
+        index.search(q, 401)
+    a = search.search(index.rows, q, 4)
+    o = {r["qid"]: tuple(r)[1:] for r in search.shown_overlap(a, a.where("rank <= 2 and qid = 0"), passages, 3).collect()}
+    assert o == {0: (2, 1, 0.5, 0.5), 1: (2, 0, 0.0, 0.0)}
+    none = search.shown_overlap(a, a, passages.limit(0), 3).first()
+    assert none["n_shown"] == 0 and none["same_results"] is None and none["same_at_depth"] == 1.0

@@ -5,6 +5,8 @@ Quantization: one scale per vector, scale = max|x| / 127 in float32, codes in [-
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,23 @@ def bytes_per_vector(d) -> Column:
     return pad_dim(d) + 4
 
 
+def float_bytes(d) -> Column:
+    return d * 4
+
+
+def pq_bytes(m) -> Column:
+    """Bytes of m codes of 4 bits."""
+    return m * 4 / 8
+
+
+def synthetic(spark, n: int, dim: int, seed: int = 0):
+    """(id, v): n vectors of normal components, L2-normalized; the same for a seed, however they are dealt to tasks."""
+    two = lambda i, salt: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i, F.lit(salt)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    normal = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.sqrt(-2 * F.log(two(i, 1))) * F.cos(2 * math.pi * two(i, 2)))
+    rows = spark.range(n).select("id", normal.alias("v"))
+    return rows.select("id", F.transform(l2_normalize(F.col("v")), _f).alias("v"))
+
+
 def max_abs(v: Column) -> Column:
     return F.array_max(F.transform(v, lambda x: F.abs(_f(x))))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import comparators, isa, metrics, ranking
+from ..operators import comparators, metrics, ranking
 from ..operators import search as S
 from ..sources import corpora, index_store
 
@@ -117,11 +117,15 @@ gr AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)
 
 @query(f"WITH {_G} SELECT qid, rank, id, CAST(score AS FLOAT) AS score FROM gr WHERE rank <= {K}")
 def vec_global_scale_topk(spark, d):
+    return _global_hits(spark, d, K)
+
+
+def _global_hits(spark, d: str, k: int) -> DataFrame:
     v = _floats(spark, d)
     g = v.agg(F.max(V.max_abs(F.col("v"))).alias("g"))
     one = F.lit(1.0).cast("float")
     index = v.crossJoin(F.broadcast(g)).select("id", V.requantize_global(F.col("v"), F.col("g")).alias("codes"), one.alias("scale"))  # g is one row
-    return S.search(index, _asked(index), K)
+    return S.search(index, _asked(index), k)
 
 
 def _sq(spark, d: str, per_dim: bool) -> DataFrame:
@@ -169,18 +173,47 @@ def vec_confidence(spark, d):
     return S.confidence(top, hits.select("qid").distinct(), unrankable=("3",))
 
 
-@query()
-def vec_collapse(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://example.org/"), F.col("source"), F.lit("/"), (F.col("doc_id") % 97).cast("string")).alias("url"), "text")
-    ranked = docs.withColumn("qid", F.floor(F.col("id") / 100)).withColumn("rank", (F.col("id") % 100 + 1).cast("long"))
-    return S.collapse(ranked, K)
+PAD_K = 64  # more than some labels have vectors
 
 
-@query(f"WITH {_Q}, n AS (SELECT count(*) n FROM embeddings) SELECT qid, rank, id, score FROM r UNION ALL SELECT x.vec_id, n.n + k.k, -1, CAST('-inf' AS FLOAT) FROM embeddings x, n, (SELECT unnest([1, 2, 3]) k) k WHERE x.vec_id % 20 = 0")
+@query(f"WITH {_Q}, p AS (SELECT s.qid, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.id) rank, s.id, s.score FROM s JOIN embeddings e ON e.vec_id = s.id WHERE e.label = 3), g AS (SELECT x.vec_id qid, k.k rank FROM embeddings x, (SELECT unnest(range(1, {PAD_K + 1})) k) k WHERE x.vec_id % 20 = 0) SELECT qid, rank, coalesce(id, -1) AS id, coalesce(score, CAST('-inf' AS FLOAT)) AS score FROM g LEFT JOIN p USING (qid, rank)")
 def vec_padded_result(spark, d):
+    index, q = S.build_index(_t(spark, d, "embeddings").where("label = 3"), "vec_id", "embedding"), _asked(_index(spark, d))
+    return S.padded(S.search(index, q, PAD_K), q, PAD_K)
+
+
+_PASSAGES = "SELECT doc_id id, 'https://example.org/' || source || '/' || CAST(doc_id % 97 AS VARCHAR) url, text FROM documents"
+_FOLD = """
+{n} AS (SELECT qid, rank, id, text, CASE WHEN url <> '' THEN url ELSE text END k FROM {of} JOIN pa USING (id)),
+{n}f(qid, rank, id, keys, texts, kept) AS (
+  SELECT qid, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false FROM (SELECT DISTINCT qid FROM {n})
+  UNION ALL
+  SELECT f.qid, f.rank + 1, x.id,
+         CASE WHEN x.id IS NOT NULL AND NOT (list_contains(f.keys, x.k) OR list_contains(f.texts, x.text)) AND len(f.keys) < {limit} THEN list_append(f.keys, x.k) ELSE f.keys END,
+         CASE WHEN x.id IS NOT NULL AND NOT (list_contains(f.keys, x.k) OR list_contains(f.texts, x.text)) AND len(f.keys) < {limit} THEN list_append(f.texts, x.text) ELSE f.texts END,
+         x.id IS NOT NULL AND NOT (list_contains(f.keys, x.k) OR list_contains(f.texts, x.text)) AND len(f.keys) < {limit}
+  FROM {n}f f LEFT JOIN {n} x ON x.qid = f.qid AND x.rank = f.rank + 1 WHERE f.rank < {depth}),
+{n}s AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) shown, rank, id FROM {n}f WHERE kept)
+"""
+
+
+def _passages(spark, d: str) -> DataFrame:
+    url = F.concat(F.lit("https://example.org/"), F.col("source"), F.lit("/"), (F.col("doc_id") % 97).cast("string"))
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), url.alias("url"), "text")
+
+
+@query(f"WITH RECURSIVE pa AS ({_PASSAGES}), h AS (SELECT id // 100 qid, id % 100 + 1 rank, id FROM pa), {_FOLD.format(n='c', of='h', limit=K, depth=100)} SELECT qid, shown, rank, id FROM cs")
+def vec_collapse(spark, d):
+    hits = _passages(spark, d).withColumn("qid", F.floor(F.col("id") / 100)).withColumn("rank", (F.col("id") % 100 + 1).cast("long"))
+    return S.collapse(hits, K)
+
+
+@query(f"WITH RECURSIVE {_Q}, {_G}, pa AS ({_PASSAGES}), da AS (SELECT * FROM r WHERE rank <= 60), db AS (SELECT * FROM gr WHERE rank <= 60), {_FOLD.format(n='u', of='da', limit=K, depth=60)}, {_FOLD.format(n='v', of='db', limit=K, depth=60)}, n AS (SELECT qid, count(*) n_shown FROM us GROUP BY qid), m AS (SELECT b.qid, count(*) shared FROM vs b JOIN n USING (qid) WHERE b.shown <= n.n_shown AND EXISTS (SELECT 1 FROM us a WHERE a.qid = b.qid AND a.id = b.id) GROUP BY b.qid), e AS (SELECT da.qid, count(*) n_both FROM da JOIN db USING (qid, id) GROUP BY da.qid) SELECT da.qid, coalesce(max(n_shown), 0) AS n_shown, coalesce(max(shared), 0) AS shared, CASE WHEN max(n_shown) > 0 THEN coalesce(max(shared), 0) / max(n_shown) END AS same_results, coalesce(max(n_both), 0) / count(*) AS same_at_depth FROM da LEFT JOIN n USING (qid) LEFT JOIN m USING (qid) LEFT JOIN e USING (qid) GROUP BY da.qid")
+def vec_shown_overlap(spark, d):
+    depth = S.fetch_depth(K)
     index = _index(spark, d)
-    k, q = index.count() + 3, _asked(index)
-    return S.padded(S.search(index, q, k), q, k)
+    ours = S.search(index, _asked(index), depth)
+    return S.shown_overlap(ours, _global_hits(spark, d, depth), _passages(spark, d), K)
 
 
 @query()
@@ -215,12 +248,6 @@ def text_paragraph_loader(spark, d):
     return corpora.loader_chunks(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "at", "chunk")
 
 
-@query()
-def text_artifact_audit(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(T.artifacts(F.col("text"))).alias("label"))
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
-
-
 @query()
 def text_clean_plain(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2(T.clean_plain_text(F.col("text")), 256).alias("clean_sha256"))
@@ -279,29 +306,3 @@ def manifest_row(spark, d):
 @query("WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) i, count(*) OVER (PARTITION BY event_type) n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, (max(value) FILTER (i = (n + 1) // 2) + max(value) FILTER (i = n // 2 + 1)) / 2 AS median, max(value) FILTER (i = n // 2 + 1) AS upper_median, max(value) FILTER (i = CASE WHEN n * 9 // 10 = 0 THEN n ELSE n * 9 // 10 END) AS p90, min(value) AS lowest, max(value) AS highest FROM e GROUP BY event_type")
 def latency_percentiles(spark, d):
     return metrics.order_statistics(_t(spark, d, "events"), "event_type", "value")
-
-
-_RUNS = [("exact float32", 46.2, 1.0, 1536), ("direct signed", 16.3, 0.978, 384), ("symmetric int8", 247.9, 0.981, 388)]
-_RUNS_SQL = ", ".join(f"('{n}', CAST({q} AS DOUBLE), CAST({r} AS DOUBLE), {b})" for n, q, r, b in _RUNS)
-
-
-@query(f"SELECT name, CAST(0.0816 AS DOUBLE) / qps * 1e6 / 3600 AS usd_per_million, (SELECT max(qps) FILTER (name = 'exact float32') FROM (VALUES {_RUNS_SQL}) w(name, qps, recall, bytes)) / qps AS vs_float32, recall BETWEEN 0.97 AND 0.99 AS matched FROM (VALUES {_RUNS_SQL}) v(name, qps, recall, bytes)")
-def cost_per_million(spark, d):
-    runs = spark.createDataFrame(_RUNS, "name string, qps double, recall double, bytes int")
-    base = runs.agg(F.max(F.when(F.col("name") == "exact float32", F.col("qps"))).alias("base"))
-    return runs.crossJoin(base).select("name", metrics.cost_per_million(F.lit(0.0816), F.col("qps")).alias("usd_per_million"), (F.col("base") / F.col("qps")).alias("vs_float32"), metrics.in_band(F.col("recall")).alias("matched"))  # base is one row
-
-
-_INSNS = [("w", "a.so", "sdot", "v0.4s, v1.16b, v2.16b"), ("w", "a.so", "SMMLA", "v0.4s, v1.16b, v2.16b"), ("w", "a.so", "fmla", "z0.s, p0/m, z1.s, z2.s"), ("w", "a.so", "smstart", ""), ("w", "b.so", "zero", "{za}"), ("w", "b.so", "add", "x0, x1, x2"), ("w", "b.so", "ld1w.s", "z31.s, p7/z, [x0]"), ("w", "b.so", "mov", "z32.s, x0")]
-
-
-@query("SELECT * FROM (VALUES ('dotprod', 1), ('i8mm', 1), ('sve', 2), ('sme', 4)) v(feature, hits)")
-def isa_feature_counts(spark, d):
-    return isa.feature_counts(spark.createDataFrame(_INSNS, "wheel string, object string, mnemonic string, op_str string"))
-
-
-@query("SELECT CAST(m AS BIGINT) AS midr, CAST((m >> 24) & 255 AS BIGINT) AS implementer, CAST((m >> 4) & 4095 AS BIGINT) AS part FROM (VALUES (1091555456), (1091555457), (1091621072)) v(m)")
-def midr_decode(spark, d):
-    m = spark.createDataFrame([(1091555456,), (1091555457,), (1091621072,)], "midr long")
-    i, p = isa.midr_fields(F.col("midr"))
-    return m.select("midr", i.alias("implementer"), p.alias("part"))
