@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import comparators, metrics, ranking
 from ..operators import search as S
 from ..sources import corpora, index_store
+from . import text_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,18 +129,27 @@ def _global_hits(spark, d: str, k: int) -> DataFrame:
     return S.search(index, _asked(index), k)
 
 
+def _sq_sql(per_dim: bool) -> str:
+    r = "SELECT i, min(x) lo, (max(x) - min(x)) / 255 step FROM d GROUP BY i" if per_dim else "SELECT i, lo, step FROM (SELECT DISTINCT i FROM d), (SELECT min(x) lo, (max(x) - min(x)) / 255 step FROM d)"
+    return f"""WITH {_EXACT}, d AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) x, generate_subscripts(embedding, 1) i FROM embeddings), rg AS ({r}),
+    c AS (SELECT vec_id, list(lo + CASE WHEN step > 0 THEN floor((x - lo) / step + 0.5) ELSE 0 END * step ORDER BY i) v FROM d JOIN rg USING (i) GROUP BY vec_id),
+    s AS (SELECT x.vec_id qid, y.vec_id id, list_inner_product(CAST(x.embedding AS DOUBLE[]), y.v) score FROM embeddings x, c y WHERE x.vec_id % 20 = 0),
+    o AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) rank FROM s)
+    SELECT count(*) / ({K} * (SELECT count(DISTINCT qid) FROM ex)) AS recall FROM o JOIN er USING (qid, id) WHERE o.rank <= {K} AND er.rank <= {K}"""
+
+
 def _sq(spark, d: str, per_dim: bool) -> DataFrame:
     v = _floats(spark, d)
     hits = comparators.search_scalar(comparators.scalar_index(v, 64, per_dim), _asked(v), K)
     return metrics.recall(hits, vec_search_exact_topk(spark, d), K)
 
 
-@query()
+@query(_sq_sql(True))
 def vec_sq8_per_dim_recall(spark, d):
     return _sq(spark, d, True)
 
 
-@query()
+@query(_sq_sql(False))
 def vec_sq8_uniform_recall(spark, d):
     return _sq(spark, d, False)
 
@@ -216,13 +226,13 @@ def vec_shown_overlap(spark, d):
     return S.shown_overlap(ours, _global_hits(spark, d, depth), _passages(spark, d), K)
 
 
-@query()
+@query(text_sql.CHUNK)
 def text_chunk(spark, d):
     docs = _t(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(T.chunk(F.coalesce("text", F.lit("")))).alias("at", "piece"))
 
 
-@query()
+@query(text_sql.PROSE)
 def text_is_prose_parts(spark, d):
     t = F.col("text")
     return _t(spark, d, "documents").select("doc_id", T.is_prose(t).alias("prose"), F.round(T.title_case_ratio(t), 9).alias("title_case"))
@@ -238,7 +248,7 @@ def text_trim(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.trim(F.col("text"), 80).alias("short"))
 
 
-@query()
+@query(text_sql.HEADLINE)
 def text_headline(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.headline(F.col("text")).alias("headline"))
 
@@ -248,12 +258,12 @@ def text_paragraph_loader(spark, d):
     return corpora.loader_chunks(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "at", "chunk")
 
 
-@query()
+@query(text_sql.CLEAN)
 def text_clean_plain(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2(T.clean_plain_text(F.col("text")), 256).alias("clean_sha256"))
 
 
-@query()
+@query(text_sql.HTML)
 def html_strip(spark, d):
     return _t(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
@@ -265,9 +275,9 @@ def html_lower_host(spark, d):
 
 @query("SELECT conv_id, arg_max(text, (length(text), -turn)) AS best FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def qa_best_answer(spark, d):
-    a = _t(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("a"))
-    answers = F.transform("a", lambda x: F.struct(x["text"].alias("text"), F.lit(False).alias("selected"), F.length(x["text"]).alias("pm_score")))
-    return a.select("conv_id", corpora.best_answer(answers)["text"].alias("best"))
+    a = _t(spark, d, "conversations").where("role = 'assistant'")
+    rank = F.struct(F.length("text"), -F.col("turn"))
+    return a.groupBy("conv_id").agg(F.max_by("text", rank).alias("best"))
 
 
 @query("SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
