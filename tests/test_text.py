@@ -1,9 +1,13 @@
+import json
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import text as T
 from vecloom.sources import corpora, index_store
-from vecloom.operators.search import build_index
+from vecloom.operators import audit
+from vecloom.operators.search import build_index, from_codes, search
 
 
 def one(spark, f, *values):
@@ -60,3 +64,58 @@ def test_adapters_and_store(spark, tmp_path):
     back, manifest = index_store.read_index(spark, path)
     assert back.count() == 1 and manifest.first()["dpad"] == 16
     assert index_store.repair_titles(spark, path, f"file://{tmp_path}/fixed") == 1
+
+
+def test_stream_shards_and_faults(spark, tmp_path):
+    a, b, c = (spark.createDataFrame([(f"{n}{i}", i) for i in range(k)], "text string, ord long") for n, k in (("z", 3), ("a", 1), ("m", 0)))
+    got = corpora.stream({"z": a, "m": c, "a": b}, "ord")
+    assert [(r["id"], r["text"]) for r in got.orderBy("id").collect()] == [(0, "z0"), (1, "a0"), (2, "z1"), (3, "z2")]
+    assert [r["text"] for r in corpora.stream({"z": a, "a": b}, "ord", 2).orderBy("id").collect()] == ["z0", "a0", "z1"]
+    path = f"file://{tmp_path}/shards"
+    spark.range(100).repartitionByRange(4, "id").write.parquet(path)
+    (tmp_path / "shards" / "bad.parquet").write_bytes(b"no parquet")
+    shards = corpora.read_shards(spark, path, "id long", seed=1)
+    first, every = ([r["id"] for r in corpora.take_shards(shards, n).collect()] for n in (30, None))
+    assert sorted(every) == list(range(100)) and len(first) == 30 and first[:20] == list(range(first[0], first[0] + 20))
+    assert first == [r["id"] for r in corpora.take_shards(corpora.read_shards(spark, path, "id long", seed=1), 30).collect()]
+    broken = a.withColumn("text", F.raise_error(F.lit("gone")).cast("string"))
+    assert list(corpora.write_each({"good": a, "bad": broken}, f"file://{tmp_path}/each")) == ["bad"]
+    assert spark.read.parquet(f"file://{tmp_path}/each/source=good").count() == 3
+
+
+def test_build_search_and_response(spark, tmp_path):
+    passages = spark.createDataFrame([(i, t, f"T{i}", f"u{i}", "web", "x") for i, t in enumerate(["sea", "wind", "sea"])], "id long, text string, title string, url string, source string, licence string")
+    embed = lambda t: F.when(t == "sea", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>")
+    m = index_store.build(passages, embed, f"file://{tmp_path}/built", "toy").first()
+    assert (m["n"], m["dim"], m["dpad"], m["model"], m["bytes_per_vector"], m["per_source"]["web"]) == (3, 2, 16, "toy", 20, 3)
+    rows, _ = index_store.read_index(spark, f"file://{tmp_path}/built")
+    q = build_index(spark.createDataFrame([(7, [1.0, 0.1])], "qid long, v array<float>"), "qid", "v").withColumnRenamed("id", "qid")
+    hits = search(rows, q, 2)
+    full = index_store.passages_of(hits, rows)
+    got = json.loads(index_store.search_response(full).first()["json"])["results"]
+    assert [(r["rank"], r["id"], r["text"], r["title"]) for r in got] == [(1, 0, "sea", "T0"), (2, 2, "sea", "T2")] and got[0]["score"] == 1.0
+    adopted = from_codes(rows.select("id", "codes", "scale"), 2)
+    assert search(adopted, q, 2).collect() == hits.collect()
+    with pytest.raises(Exception, match="invalid codes"):
+        from_codes(rows.select("id", "codes", "scale"), 3).collect()
+    empty = index_store.build(passages.limit(0), embed, f"file://{tmp_path}/none").first()
+    assert empty["n"] == 0
+
+
+def test_wheel_objects(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "p-1.whl", "w") as z:
+        z.writestr("p/a.so", b"ELF1")
+        z.writestr("p/lib.so.3", b"ELF2")
+        z.writestr("p/x.py", b"pass")
+    assert sorted((r["wheel"], r["object"], bytes(r["content"])) for r in corpora.wheel_objects(spark, f"file://{tmp_path}").collect()) == [("p-1.whl", "p/a.so", b"ELF1"), ("p-1.whl", "p/lib.so.3", b"ELF2")]
+
+
+def test_audit(spark):
+    rows = [(1, "u1", "clean text"), (2, "u1", "a [12] b"), (3, "u2", "x" * 80 + " &amp; " + "y" * 80), (4, "u1", "c [3]"), (5, "u3", "[4]"), (6, "u2", None)]
+    df = spark.createDataFrame(rows, "ord long, url string, text string")
+    got = {r["label"]: r for r in audit.audit(df, "ord", "url", "text").collect()}
+    assert len(got) == 11 and (got["footnote marker"]["hits"], got["footnote marker"]["first"], got["footnote marker"]["example"]) == (3, 2, "a [12] b")
+    assert got["html leftover"]["example"] == "x" * 49 + " &amp; " + "y" * 49 and got["code"]["hits"] == 0 and got["code"]["example"] is None
+    assert (got["code"]["passages"], got["code"]["documents"]) == (6, 3)
+    some = {r["label"]: r for r in audit.audit(df, "ord", "url", "text", docs=2, per_doc=2).collect()}  # stops at u3, takes two of u1
+    assert (some["footnote marker"]["hits"], some["code"]["passages"], some["code"]["documents"]) == (1, 3, 2)

@@ -137,3 +137,25 @@ def test_search_requests(spark):
     assert o == {0: (2, 1, 0.5, 0.5), 1: (2, 0, 0.0, 0.0)}
     none = search.shown_overlap(a, a, passages.limit(0), 3).first()
     assert none["n_shown"] == 0 and none["same_results"] is None and none["same_at_depth"] == 1.0
+
+
+def test_reports_on_small_rows(spark, tmp_path):
+    one = [("sdot", 1, 100, 16, 50, 2.0), ("sdot", 2, 100, 16, 50, 1.0), ("sdot", 1, 200, 16, 50, 4.0)]
+    got = {(r["block"], r["n"]): (r["qps"], r["speedup"]) for r in metrics.roofline(spark.createDataFrame(one, "kernel string, block int, n int, dpad int, nq int, seconds double")).collect()}
+    assert got == {(1, 100): (25.0, 1.0), (2, 100): (50.0, 2.0), (1, 200): (12.5, 1.0)}
+    good = [("q", 120, 2, 3, "t", "T", "http://u", "web", 2.0, 0.9)]
+    schema = "query string, n int, sources int, returned int, text string, title string, url string, source string, speedup double, same_results double"
+    assert metrics.smoke(spark.createDataFrame(good, schema)).count() == 0
+    bad = [("q", 20, 1, 3, "t", "", "ftp", "web", 1.0, 0.5), ("r", 20, 1, 0, None, None, None, None, None, None), ("s", 20, 1, 1, "t", "T", "http", "w", None, None)]
+    faults = {r["fault"]: r["faults"] for r in metrics.smoke(spark.createDataFrame(bad, schema)).collect()}
+    assert faults == {"index too small": 3, "too few sources": 3, "field missing": 1, "bad url": 1, "indexes disagree": 1, "no results": 1, "nothing to compare": 1, "mean speedup too low": 1}
+    v = V.synthetic(spark, 500, 24, seed=3)
+    assert sorted(map(tuple, v.collect()))[:3] == sorted(map(tuple, V.synthetic(spark, 500, 24, seed=3).repartition(3).collect()))[:3]
+    x = np.array([r["v"] for r in v.collect()])
+    assert np.allclose((x * x).sum(1), 1, atol=1e-5) and abs(x.mean()) < 0.01 and metrics.anisotropy(v) < 2
+    metrics.write_report(spark.createDataFrame([(1, "x")], "a int, b string"), f"file://{tmp_path}/report")
+    assert spark.read.json(f"file://{tmp_path}/report").first()["b"] == "x"
+    assert spark.range(1).select(V.pq_bytes(F.lit(96)), V.float_bytes(F.lit(384))).first()[:] == (48.0, 1536)
+    assert [r[0] for r in spark.createDataFrame([(50.0,), (200.0,), (900.0,)], "ms double").select(metrics.playback(F.col("ms"))).collect()] == ["watchable", "interactive", "slow"]
+    use = spark.createDataFrame([(0.96, 2.0, 1.0), (0.9, 2.0, 1.0), (0.96, 1.0, 1.0)], "a double, r double, b double")
+    assert [r[0] for r in use.select(metrics.usable(F.col("a"), F.col("r"), F.col("b"))).collect()] == [True, False, False]

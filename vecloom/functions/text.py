@@ -13,15 +13,14 @@ from ..runtime import ship
 
 # The results must equal those of other builds of the same index.
 FUNCTION_WORDS = ["the", "of", "and", "to", "in", "that", "is", "was", "it", "for", "with", "as", "his", "on", "be", "at", "by", "not"]
-DIVISION_WORDS = ["chapter", "book", "part", "canto", "volume", "act", "scene"]
-EDITORIAL_WORDS = ["illustration", "sidenote", "footnote", "transcriber", "blank page", "greek", "hebrew", "music"]
+DIVISION = "(?iU)\\b(chapter|book|part|canto|volume|act|scene)\\b"
+EDITORIAL = "(?iU)\\[\\s*(?:illustration|sidenote|footnote|transcriber|blank page|greek|hebrew|music)[^\\]]*\\]"
 CODE_SYMBOLS = "{}[]<>;=|\\/*&^~`$"
 C1_SINGLE = {0x82: ",", 0x84: '"', 0x8B: "<", 0x91: "'", 0x92: "'", 0x93: '"', 0x94: '"', 0x95: "*", 0x96: "-", 0x97: "-", 0x9B: ">"}
 C1_LONGER = {0x85: "...", 0x99: "(TM)"}
+SPACE_BEFORE = "(?U)\\s+([,.;:!?%)\\]])"
 # End of fixed values.
 
-_SPACE_BEFORE = "(?U)\\s+([,.;:!?%)\\]])"
-
 
 def collapse(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, "(?U)[\\s\\x1c-\\x1f]+", " "))
@@ -38,7 +37,7 @@ def strip_html(h: Column) -> Column:
     t = F.regexp_replace(h, "(?is)<pre\\b.*?</pre>", "\n\n")
     t = F.regexp_replace(t, "(?i)</(p|div|li|pre|blockquote|h[1-6])\\s*>|<br\\s*/?>", "\n\n")
     t = unescape(F.regexp_replace(t, "<[^>]+>", " "))
-    t = F.regexp_replace(F.regexp_replace(t, _SPACE_BEFORE, "$1"), "(?U)([(\\[])\\s+", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, SPACE_BEFORE, "$1"), "(?U)([(\\[])\\s+", "$1")
     return F.regexp_replace(t, "[ \\t]+", " ")
 
 
@@ -46,12 +45,12 @@ def clean_plain_text(t: Column) -> Column:
     t = F.translate(t, "".join(map(chr, C1_SINGLE)), "".join(C1_SINGLE.values()))
     for code, to in C1_LONGER.items():
         t = F.replace(t, F.lit(chr(code)), F.lit(to))
-    t = F.regexp_replace(t, f"(?iU)\\[\\s*(?:{'|'.join(EDITORIAL_WORDS)})[^\\]]*\\]", "")
+    t = F.regexp_replace(t, EDITORIAL, "")
     t = F.regexp_replace(t, "(?U)\\[\\d{1,3}\\]", "")
     t = F.regexp_replace(t, "_([^_\\n]{1,80})_", "$1")
     t = F.regexp_replace(t, "(?U)(\\w)\\{(\\w{1,3})\\}", "$1$2")
     t = F.regexp_replace(t, "(?U)([a-z])-\\s+(?!(?:and|or|nor|but|to|the)\\b)([a-z])", "$1$2")
-    return F.regexp_replace(F.regexp_replace(t, _SPACE_BEFORE, "$1"), "[ \\t]{2,}", " ")
+    return F.regexp_replace(F.regexp_replace(t, SPACE_BEFORE, "$1"), "[ \\t]{2,}", " ")
 
 
 def words(t: Column) -> Column:
@@ -67,17 +66,18 @@ def title_case_ratio(t: Column) -> Column:
 
 
 def is_prose(t: Column) -> Column:
-    w = words(t)
-    n = F.size(w)
-    known = F.size(F.array_intersect(F.transform(w, F.lower), F.array(*map(F.lit, FUNCTION_WORDS))))
-    caps = F.size(F.filter(w, lambda x: (F.length(x) > 1) & (F.upper(x) == x)))
-    stops = F.length(t) - F.length(F.translate(t, ".?!", ""))
+    """Gates in their order; cheap ones on the text alone come first, and each word gate works on one array of words."""
     table = (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))) >= 3
-    return (
-        F.when(table | t.contains(".."), False).when(n < 20, False).when(known < 3, False).when(caps / n > 0.2, False)
-        .when(stops < 1, False).when(n / stops < 9, False).when(title_case_ratio(t) > 0.35, False)
-        .otherwise(F.regexp_count(t, F.lit(f"(?iU)\\b({'|'.join(DIVISION_WORDS)})\\b")) < 2)
-    )
+    stops = F.length(t) - F.length(F.translate(t, ".?!", ""))
+
+    def by_words(w: Column) -> Column:
+        n = F.size(w)
+        known = F.size(F.array_intersect(F.transform(w, F.lower), F.array(*map(F.lit, FUNCTION_WORDS))))
+        caps = F.size(F.filter(w, lambda x: (F.length(x) > 1) & (F.upper(x) == x)))
+        return F.when((n < 20) | (n < 9 * stops), False).when(known < 3, False).otherwise(caps / n <= 0.2)
+
+    words_pass = F.element_at(F.transform(F.array(words(t)), by_words), 1)  # the array is made once, as a lambda's argument
+    return F.when(t.isNull(), F.lit(None).cast("boolean")).when(table | t.contains("..") | (stops < 1), False).when(~words_pass, False).when(title_case_ratio(t) > 0.35, False).otherwise(F.regexp_count(t, F.lit(DIVISION)) < 2)
 
 
 def looks_like_code(t: Column) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ranking
+from ..runtime import ship
 
 # Licence of each source, and the markers of plain-text book files.
 LICENCES = {
@@ -35,7 +41,7 @@ def _or_empty(c: str) -> Column:
 
 def wikipedia(df: DataFrame) -> DataFrame:
     """(title, url, text)"""
-    pulled = F.regexp_replace(_or_empty("text"), "(?U)\\s+([,.;:!?%)\\]])", "$1")
+    pulled = F.regexp_replace(_or_empty("text"), T.SPACE_BEFORE, "$1")
     return _passages(df, T.chunk(pulled), _or_empty("title"), _or_empty("url"), "wikipedia")
 
 
@@ -82,9 +88,24 @@ ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {"wikipedia": wikipedia,
 
 
 def read_shards(spark: SparkSession, path: str, schema: str, seed: int = 20260728) -> DataFrame:
-    """Parquet shards with unreadable ones skipped; `_shard_order` gives a seeded order of shards for limits."""
+    """Parquet shards with unreadable ones skipped, and the order in which a sampler reads them: `_shard`, a seeded hash of the
+    shard's name, then `_row`, the row's place in it."""
     df = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
-    return df.withColumn("_shard_order", F.xxhash64(F.lit(seed), F.input_file_name()))
+    return df.select("*", F.xxhash64(F.lit(seed), F.col("_metadata.file_name")).alias("_shard"), F.col("_metadata.row_index").alias("_row"))
+
+
+def take_shards(shards: DataFrame, limit: int | None) -> DataFrame:
+    """The first `limit` rows of read_shards in its order, shard after shard; None or 0: all."""
+    return shards.orderBy("_shard", "_row").limit(limit) if limit else shards
+
+
+def stream(sources: dict[str, DataFrame], order: str, limit: int | None = None) -> DataFrame:
+    """The sources' passages as one table with `id`: the first of each in the order given, then the second of each, and so on,
+    exhausted ones dropping out; at most `limit` of each. An empty dict has no columns to return and is refused."""
+    if not sources:
+        raise ValueError("no sources")
+    at = [ranking.per_source_limit(df.withColumn("_pos", F.lit(i)), "_pos", order, limit) for i, df in enumerate(sources.values())]
+    return ranking.interleave(reduce(DataFrame.unionByName, at), "_pos", order).withColumnRenamed("global_id", "id").drop("_pos")
 
 
 def write_each(sources: dict[str, DataFrame], path: str) -> dict[str, str]:
@@ -101,3 +122,19 @@ def write_each(sources: dict[str, DataFrame], path: str) -> dict[str, str]:
 def loader_chunks(df: DataFrame, text_col: str) -> DataFrame:
     """Adds rows of the plain paragraph loader: (.., at, chunk)."""
     return df.select("*", F.posexplode(T.paragraphs(F.col(text_col))).alias("at", "chunk"))
+
+
+def wheel_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(wheel, object, content): the shared objects inside the packages (zip files) below a path. Unreadable packages raise."""
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b["path"].to_pylist(), b["content"]):
+                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
+                    for x in z.namelist():
+                        if x.endswith(".so") or ".so." in x.rsplit("/", 1)[-1]:
+                            yield pa.RecordBatch.from_pydict({"wheel": [name.rsplit("/", 1)[-1]], "object": [x], "content": [z.read(x)]}, pa.schema([("wheel", pa.string()), ("object", pa.string()), ("content", pa.binary())]))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.whl").load(path).select("path", "content")
+    return files.mapInArrow(run, "wheel string, object string, content binary")

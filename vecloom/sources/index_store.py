@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators.search import build_index
+from ..runtime import written
 
 
 def write_index(rows: DataFrame, path: str) -> None:
@@ -26,6 +31,20 @@ def write_manifest(one: DataFrame, path: str) -> None:
     one.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
 
+def build(passages: DataFrame, embed: Callable[[Column], Column], path: str, model: str = "") -> DataFrame:
+    """Passages (id, text, title, url, source, licence), as corpora.stream gives them -> a stored index below path, and its
+    manifest, which is returned. embed: text column -> array<float> column, such as an iterator Pandas UDF that loads its
+    model once a worker; each text is embedded once. Vectors that are null or not finite raise."""
+    spark, began = passages.sparkSession, time.monotonic()
+    vectors = written(passages.select("id", embed(F.col("text")).alias("v")), "vectors")  # embedding is the dear part: it isn't done again
+    one = vectors.agg(F.max(F.size("v")).alias("d")).first()["d"]
+    index = build_index(vectors, "id", "v", "even", one or 0)
+    write_index(index.join(passages, "id").select("id", "codes", "scale", "text", "title", "url", "source", "licence"), path)
+    rows = spark.read.parquet(f"{path}/rows")
+    write_manifest(manifest(rows, model, time.monotonic() - began), path)
+    return spark.read.json(f"{path}/manifest")
+
+
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/rows"), spark.read.json(f"{path}/manifest")
 
