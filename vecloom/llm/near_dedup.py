@@ -252,8 +252,8 @@ def lookup(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, component): the smallest node that edges (a, b) reach. Alternating large and small stars, each stored, until
-    a round changes nothing; with `rounds`, it raises where so many don't suffice."""
+    """(node, component): the smallest node that edges (a, b) reach. Alternating large and small stars, each round stored, until
+    one changes nothing; with `rounds`, it raises where so many don't suffice."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(e)
@@ -261,15 +261,15 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if n == rounds:
             raise RuntimeError(f"components are not settled after {rounds} rounds")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.join(lookup(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "large")
-        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low2")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).persist()
+        large = both.join(lookup(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().persist()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m")).persist()
         joined = large.join(lookup(low2), "u").select("u", "v", "m")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         old, e = e, stored(small, "small")
-        for d in (old, low, large, low2):
-            dropped(d)
+        for d in (low2, large, low):  # kept while the round runs; a lost part is computed again from the round's stored edges
+            d.unpersist()
+        dropped(old)
         after = mark(e)
         if after == before:
             break
@@ -328,7 +328,7 @@ class _Join:
             rows, nodes = self.opened(rows, level)
             opened = rows.join(lookup(nodes), "node")
             few = opened.where("few").withColumn("block", F.explode(F.when(F.col("c") == F.col("top"), F.array(block)).otherwise(every)))
-            out.append(stored(few.select("node", "block", F.lit(0).cast("long").alias("part"), "rep", "c", "n"), f"few{level}"))
+            out.append(few.select("node", "block", F.lit(0).cast("long").alias("part"), "rep", "c", "n"))
             if not nodes.where("not few").limit(1).count():
                 return out
             opened = opened.where("not few")
@@ -338,7 +338,7 @@ class _Join:
                 depth += steps
         pairs = opened.withColumn("part", block).withColumn("other", F.explode(every))
         pair = F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")
-        return [*out, stored(pairs.select("node", pair.alias("block"), "part", "rep", "c", "n"), "pairs")]
+        return [*out, pairs.select("node", pair.alias("block"), "part", "rep", "c", "n")]
 
     def linked(self, blocks: list[DataFrame], name: str) -> DataFrame:
         """Blocks (node, block, part, rep, c, n) -> components of the components c that their links connect."""
