@@ -299,7 +299,7 @@ def test_toxicity_query_on_held_out_rows(spark, sf):
     labels, docs = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("labels", "documents"))
     out = registry.QUERIES["op8_toxicity"](spark, d).join(labels, "doc_id").where("held_out and toxic is not null").cache()
     hit, said, toxic = (out.where(c).count() for c in ("predicted = 1 and toxic = 1", "predicted = 1", "toxic = 1"))
-    assert toxic > 50 and hit >= 0.4 * toxic and hit >= 0.8 * said  # 305 toxic rows to learn from in four languages; README has larger tables
+    assert toxic > 50 and hit >= 0.5 * toxic and hit >= 0.8 * said  # 305 toxic rows to learn from in four languages; README has larger tables
     rows = [(r["doc_id"], r["text"], r["toxic"]) for r in docs.join(labels, "doc_id").where("toxic is not null and text is not null").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
     h = {r["doc_id"]: r["h"] for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
     kinds = [sorted((h[i], t, bool(y)) for i, t, y in rows if bool(y) == k)[:n] for k, n in ((True, toxicity.TOXIC_DOCS), (False, toxicity.ORDINARY_DOCS))]

@@ -4,7 +4,8 @@ Both dictionaries end with the same frequent ordinary words; the toxic one begin
 that mark toxic training documents, chosen by document frequency against ordinary documents, each pick discounting the
 words that earlier picks explain. A window of words is compressed with both; how many bytes the toxic dictionary saves
 is the window's distance. A document's score comes from its windows' three largest savings through a logistic curve
-that is calibrated by cross-fitting: each third of the sample is scored with dictionaries of the other two. Every window of every text is compressed.
+that is calibrated by cross-fitting: each third of the sample is scored with dictionaries of the other two. The same scores
+choose how marked a segment must be (`LEAST_ODDS`). Every window of every text is compressed.
 
 Dictionaries that zstandard trains on toxic and on ordinary text apart don't find toxic words here: ordinary windows differ
 by as many bytes between them as toxic ones (figures in the README). So both share their ordinary part.
@@ -32,55 +33,75 @@ from ._shared import memo, ship, table
 from .language_id import fold_of
 
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS, WINDOW_WORDS, THRESHOLD = 1500, 3000, 100_000, 8, 0.7
+#: Log odds that every five characters of a marking segment need: cross-fitting takes the best of these.
+LEAST_ODDS = (4.0, 3.5, 3.0)
 
 
 def _words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _grams(word: str) -> set[str]:
+def _grams(word: str, fives: set[str] | None = None) -> set[str]:
+    """The word's segments; with `fives` those that begin with one of these."""
     s = " " + word
-    return {s[i : i + n] for n in (5, 6, 7, 8) for i in range(len(s) - n + 1)}
-
-
-def segments(toxic: list[str], ordinary: list[str], least_share: float = 0.02, least_odds: float = 4.0, most: int = 400) -> list[str]:
-    """Marking segments, best first."""
-    tw, ow = Counter(), Counter()
-    for t in toxic:
-        tw.update(set(_words(t)))
-    for t in ordinary:
-        ow.update(set(_words(t)))
-    nt, no, least = len(toxic), len(ordinary), max(2.0, least_share * len(toxic))
-    count: Counter = Counter()
-    where: dict[str, list[str]] = {}
-    for w, c in tw.items():
-        for g in _grams(w):
-            count[g] += c
-    often = {g for g, c in count.items() if c >= least}
-    seen: Counter = Counter()
-    for w, c in ow.items():
-        for g in _grams(w) & often:
-            seen[g] += c
-    odds = {g: math.log((count[g] + 0.5) / nt) - math.log((seen[g] + 0.5) / no) for g in often}
-    # zstandard matches 5 bytes of a segment too, so no 5 characters of it may be ordinary
-    often = {g for g in often if all(odds.get(g[i : i + 5], -1.0) >= least_odds for i in range(len(g) - 4))}
-    for w in tw:
-        for g in _grams(w) & often:
-            where.setdefault(g, []).append(w)
-    left = {g: count[g] for g in often}
-    chosen, explained = [], set()
-    while left and len(chosen) < most:
-        g = max(left, key=lambda x: (left[x] * odds[x], len(x), x))
-        if left[g] < least:
-            break
-        chosen.append(g)
-        for w in where[g]:
-            if w not in explained:
-                explained.add(w)
-                for x in _grams(w) & left.keys():
-                    left[x] -= tw[w]
-        del left[g]
-    return chosen
+    starts = [i for i in range(len(s) - 4) if fives is None or s[i : i + 5] in fives]
+    return {s[i : i + n] for i in starts for n in (5, 6, 7, 8) if i + n <= len(s)}
+
+
+class _Counts:
+    """Document frequencies of words and segments in one set of training rows (hash, text, label)."""
+
+    def __init__(self, rows: list[tuple], least_share: float = 0.02):
+        self.words: Counter = Counter()
+        ordinary: Counter = Counter()
+        for _, t, y in rows:
+            (self.words if y else ordinary).update(set(_words(t)))
+        self.toxic_rows = sum(1 for _, _, y in rows if y)
+        self.ordinary_rows = len(rows) - self.toxic_rows
+        self.least = max(2.0, least_share * self.toxic_rows)
+        fives: Counter = Counter()
+        for w, c in self.words.items():
+            for g in {(" " + w)[i : i + 5] for i in range(len(w) - 3)}:
+                fives[g] += c
+        self.fives = {g for g, c in fives.items() if c >= self.least}  # a longer segment is no more frequent than its beginning
+        count: Counter = Counter()
+        for w, c in self.words.items():
+            for g in _grams(w, self.fives):
+                count[g] += c
+        self.count = {g: c for g, c in count.items() if c >= self.least}
+        seen: Counter = Counter()
+        for w, c in ordinary.items():
+            for g in _grams(w, self.fives) & self.count.keys():
+                seen[g] += c
+        self.odds = {g: math.log((c + 0.5) / max(1, self.toxic_rows)) - math.log((seen[g] + 0.5) / max(1, self.ordinary_rows)) for g, c in self.count.items()}
+        self.common = " ".join(w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1], x[0]))[:600])
+
+    def segments(self, least_odds: float, most: int = 400) -> list[str]:
+        """Marking segments, best first."""
+        # zstandard matches 5 bytes of a segment too, so no 5 characters of it may be ordinary
+        often = {g for g in self.odds if all(self.odds.get(g[i : i + 5], -1.0) >= least_odds for i in range(len(g) - 4))}
+        fives, where = {g[:5] for g in often}, {}
+        for w in self.words:
+            for g in _grams(w, fives) & often:
+                where.setdefault(g, []).append(w)
+        left = {g: self.count[g] for g in often}
+        chosen, explained = [], set()
+        while left and len(chosen) < most:
+            g = max(left, key=lambda x: (left[x] * self.odds[x], len(x), x))
+            if left[g] < self.least:
+                break
+            chosen.append(g)
+            for w in where[g]:
+                if w not in explained:
+                    explained.add(w)
+                    for x in _grams(w, fives) & left.keys():
+                        left[x] -= self.words[w]
+            del left[g]
+        return chosen
+
+    def dictionaries(self, least_odds: float) -> dict:
+        ordinary = self.common.encode("utf-8", "replace")
+        return {"toxic": "\n".join(self.segments(least_odds)).encode("utf-8", "replace") + b"\n" + ordinary, "ordinary": ordinary}
 
 
 def _compressor(content: bytes) -> zs.ZstdCompressor:
@@ -129,32 +150,35 @@ def score(text: str | None, model: dict | None) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + sum(a * b for a, b in zip(w[1:], s))))))
 
 
-def _dictionaries(rows: list[tuple]) -> dict | None:
-    toxic, ordinary = [t for _, t, y in rows if y], [t for _, t, y in rows if not y]
-    if not toxic or not ordinary:
-        return None
-    frequent: Counter = Counter()
-    for t in ordinary:
-        frequent.update(set(_words(t)))
-    common = " ".join(w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:600]).encode("utf-8", "replace")
-    return {"toxic": "\n".join(segments(toxic, ordinary)).encode("utf-8", "replace") + b"\n" + common, "ordinary": common}
+def _loss(x: np.ndarray, y: np.ndarray, w: list[float]) -> float:
+    z = np.clip(w[0] + x @ np.array(w[1:]), -30, 30)
+    return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
 
 
-def fit(rows: list[tuple], folds: int = 3) -> dict | None:
-    """rows (hash, text, label) -> model. The curve is calibrated on savings of each fold with dictionaries of the others."""
+def fit(rows: list[tuple], folds: int = 3, least_odds: tuple[float, ...] = LEAST_ODDS) -> dict | None:
+    """rows (hash, text, label) -> model. The curve is calibrated on savings of each fold with dictionaries of the others; of
+    `least_odds` that with the least logarithmic loss there is taken, the first of equal ones."""
     rows = sorted({t: (h, t, y) for h, t, y in rows}.values())
-    model = _dictionaries(rows)
-    if not model:
+    whole = _Counts(rows)
+    if not whole.toxic_rows or not whole.ordinary_rows:
         return None
-    x, y = [], []
+    x, y = {odds: [] for odds in least_odds}, []
     for k in range(folds):
-        part = _dictionaries([r for i, r in enumerate(rows) if i % folds != k])
-        for _, t, label in rows[k::folds] if part else ():
-            x.append(savings(t, part))
-            y.append(float(label))
-    if not x:
-        x, y = [savings(t, model) for _, t, _ in rows], [float(label) for _, _, label in rows]
-    return model | {"weights": _fit(np.array(x, float).reshape(-1, 3), np.array(y))}
+        part = _Counts([r for i, r in enumerate(rows) if i % folds != k])
+        if part.toxic_rows and part.ordinary_rows:
+            y += [float(label) for _, _, label in rows[k::folds]]
+            for odds in least_odds:
+                model = part.dictionaries(odds)
+                x[odds] += [savings(t, model) for _, t, _ in rows[k::folds]]
+    if not y:
+        y = [float(label) for _, _, label in rows]
+        for odds in least_odds:
+            model = whole.dictionaries(odds)
+            x[odds] = [savings(t, model) for _, t, _ in rows]
+    y, x = np.array(y), {odds: np.array(v, float).reshape(-1, 3) for odds, v in x.items()}
+    weights = {odds: _fit(v, y) for odds, v in x.items()}
+    best = min(least_odds, key=lambda odds: _loss(x[odds], y, weights[odds]))
+    return whole.dictionaries(best) | {"weights": weights[best]}
 
 
 def train(docs: DataFrame, labels: DataFrame, learns, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict | None:
