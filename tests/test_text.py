@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,8 @@ from vecloom.functions import text as T
 from vecloom.sources import corpora, index_store
 from vecloom.operators import audit
 from vecloom.operators.search import build_index, from_codes, search
+from vecloom.plans import reports  # noqa: F401  (registers its queries)
+from vecloom.plans.catalog import ORACLE_SQL, QUERIES
 
 
 def one(spark, f, *values):
@@ -119,3 +122,19 @@ def test_audit(spark):
     assert (got["code"]["passages"], got["code"]["documents"]) == (6, 3)
     some = {r["label"]: r for r in audit.audit(df, "ord", "url", "text", docs=2, per_doc=2).collect()}  # stops at u3, takes two of u1
     assert (some["footnote marker"]["hits"], some["code"]["passages"], some["code"]["documents"]) == (1, 3, 2)
+
+
+def by_both(spark, tmp_path, name, df, table):
+    """The rows of a named query and of its SQL, over df as its only table."""
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    e = con.execute(ORACLE_SQL[name])
+    return sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*[d[0] for d in e.description]).collect()), key=repr), sorted(e.fetchall(), key=repr)
+
+
+def test_html_strip_against_sql(spark, tmp_path):
+    cut = ["<title>und&amp;&amp</title>", "x &lt y &quot", "&amp;lt; &eacute; &#39;s&nbsp;", "a\u2003, ( \u2003b", "a \xa0.", "x</p\x0b>y</p >z", "", None]
+    got, want = by_both(spark, tmp_path, "html_strip", spark.createDataFrame(list(enumerate(cut)), "page_id long, html string"), "pages")
+    assert got == want and got[0] == (0, " und&&amp ")
+    assert one(spark, T.strip_html, *cut[:4]) == [" und&& ", 'x < y "', "&lt; é 's\xa0", "a, (b"]  # the adapters decode all

@@ -19,6 +19,8 @@ CODE_SYMBOLS = "{}[]<>;=|\\/*&^~`$"
 C1_SINGLE = {0x82: ",", 0x84: '"', 0x8B: "<", 0x91: "'", 0x92: "'", 0x93: '"', 0x94: '"', 0x95: "*", 0x96: "-", 0x97: "-", 0x9B: ">"}
 C1_LONGER = {0x85: "...", 0x99: "(TM)"}
 SPACE_BEFORE = "(?U)\\s+([,.;:!?%)\\]])"
+SQL_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\xa0", "&copy;": "\xa9", "&middot;": "\xb7", "&amp;": "&"}  # of html_strip, in its order
+SQL_BLANK = "\\t\\n\\f\\r "
 # End of fixed values.
 
 
@@ -31,13 +33,20 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def strip_html(h: Column) -> Column:
-    """Code blocks and block ends become blank lines, other tags spaces; entities are decoded last, so escaped tags stay text."""
-    ship(SparkSession.getActiveSession())
+def strip_html(h: Column, entities: dict[str, str] | None = None, blank: str = "\\s") -> Column:
+    """Code blocks and block ends become blank lines, other tags spaces; entities are decoded last, so escaped tags stay text.
+    entities: what is decoded, in order, natively; None: all of HTML5, with or without semicolon. blank: the characters that
+    are blank in end tags and, with U+00A0, around punctuation."""
     t = F.regexp_replace(h, "(?is)<pre\\b.*?</pre>", "\n\n")
-    t = F.regexp_replace(t, "(?i)</(p|div|li|pre|blockquote|h[1-6])\\s*>|<br\\s*/?>", "\n\n")
-    t = unescape(F.regexp_replace(t, "<[^>]+>", " "))
-    t = F.regexp_replace(F.regexp_replace(t, SPACE_BEFORE, "$1"), "(?U)([(\\[])\\s+", "$1")
+    t = F.regexp_replace(t, f"(?i)</(p|div|li|pre|blockquote|h[1-6])[{blank}]*>|<br[{blank}]*/?>", "\n\n")
+    t = F.regexp_replace(t, "<[^>]+>", " ")
+    if entities is None:
+        ship(SparkSession.getActiveSession())
+        t = unescape(t)
+    for name, to in (entities or {}).items():
+        t = F.replace(t, F.lit(name), F.lit(to))
+    around = f"[{blank}\\xa0]"
+    t = F.regexp_replace(F.regexp_replace(t, SPACE_BEFORE.replace("\\s", around), "$1"), f"(?U)([(\\[]){around}+", "$1")
     return F.regexp_replace(t, "[ \\t]+", " ")
 
 
