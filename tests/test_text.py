@@ -1,4 +1,5 @@
 import json
+import re
 import zipfile
 
 import duckdb
@@ -138,3 +139,19 @@ def test_html_strip_against_sql(spark, tmp_path):
     got, want = by_both(spark, tmp_path, "html_strip", spark.createDataFrame(list(enumerate(cut)), "page_id long, html string"), "pages")
     assert got == want and got[0] == (0, " und&&amp ")
     assert one(spark, T.strip_html, *cut[:4]) == [" und&& ", 'x < y "', "&lt; é 's\xa0", "a, (b"]  # the adapters decode all
+
+
+ODD = ["ÉAI POUR AN AUX ", "ÉAI POUR AN AUX LE ", "a | b\r| c", "mot\xa0!", "x\x0b,", "é{é}", "e{12}", "[\u0663]", "a-\u2003b", "a- b", "édef (", "def (", ";\u2028", "; \n", ". . . ", ".\xa0.\xa0.\xa0", "SS " * 20_000, "", None]
+
+
+def test_audit_against_sql(spark, tmp_path):
+    for i, texts in enumerate([ODD, *[[t] for t in ODD[:6]]]):
+        rows = [(None if t == "e{12}" else at, t, f"s{at % 3}") for at, t in enumerate(texts)]  # a null id is no first
+        got, want = by_both(spark, tmp_path / str(i), "text_artifact_audit", spark.createDataFrame(rows, "doc_id long, text string, source string"), "documents")
+        assert got == want
+
+
+def test_audit_patterns_as_in_python(spark):
+    """The default: classes of Unicode, and only a line feed ends a line."""
+    got = one(spark, T.artifacts, *ODD)
+    assert got[:-1] == [[k for k, p in T.ARTIFACTS.items() if re.search(p, t)] for t in ODD[:-1]] and got[-1] == []

@@ -163,7 +163,18 @@ ARTIFACTS = {
 }
 # End of fixed values.
 
+ATOMIC = {"run of capitals": r"(?:\b[A-Z]{2,}+\b[ ,.]++){4,}+"}  # the same matches; Java takes stack for each word otherwise
+ASCII = {r"\s": r"[\t\n\f\r ]", r"\b": r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"}  # what Java has otherwise, also without (?U)
 
-def artifacts(t: Column) -> Column:
+
+def artifact_patterns(ascii: bool = False) -> dict[str, str]:
+    """The audit's patterns for Java, where only \\n ends a line. Classes and word boundaries are of Unicode, or ascii as in RE2."""
+    out = {k: ATOMIC.get(k, p) for k, p in ARTIFACTS.items()}
+    for c, to in ASCII.items() if ascii else ():
+        out = {k: p.replace(c, to) for k, p in out.items()}
+    return {k: ("(?d)" if ascii else "(?dU)") + p for k, p in out.items()}
+
+
+def artifacts(t: Column, ascii: bool = False) -> Column:
     """Array of the labels whose pattern occurs."""
-    return F.filter(F.array(*[F.when(t.rlike("(?U)" + p), F.lit(k)) for k, p in ARTIFACTS.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in artifact_patterns(ascii).items()]), lambda x: x.isNotNull())

@@ -25,13 +25,14 @@ def context(t: Column, pattern: str, around: int = 50) -> Column:
     return F.when(at > 0, F.substring(t, start, at - start + F.length(F.regexp_substr(t, F.lit(pattern))) + around))
 
 
-def audit(passages: DataFrame, order: str, url: str, text: str, docs: int | None = None, per_doc: int | None = None) -> DataFrame:
+def audit(passages: DataFrame, order: str, url: str, text: str, docs: int | None = None, per_doc: int | None = None, ascii: bool = False) -> DataFrame:
     """One row per label: hits, first (the order of the first hit) and example, null where there is none; beside them the
-    numbers of passages and of distinct documents that were read. Null texts have no artifact."""
+    numbers of passages and of distinct documents that were read. Null texts have no artifact, null orders are never first.
+    ascii: letters, digits, blanks and word boundaries of the patterns are those of ASCII, not of Unicode."""
     rows = first_documents(passages.select(order, url, text), order, url, docs, per_doc)
-    found = F.array(*[F.struct(F.lit(k).alias("label"), context(F.col(text), "(?U)" + p).alias("example")) for k, p in T.ARTIFACTS.items()])
+    found = F.array(*[F.struct(F.lit(k).alias("label"), context(F.col(text), p).alias("example")) for k, p in T.artifact_patterns(ascii).items()])
     each = rows.select(F.col(order).alias("first"), F.explode(F.filter(found, lambda x: x["example"].isNotNull())).alias("x")).select("first", "x.label", "x.example")
-    hits = each.groupBy("label").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("first", "example")).alias("m"))
+    hits = each.groupBy("label").agg(F.count(F.lit(1)).alias("hits"), F.min(F.when(F.col("first").isNotNull(), F.struct("first", "example"))).alias("m"))
     labels = rows.sparkSession.createDataFrame([(k,) for k in T.ARTIFACTS], "label string")
     size = rows.agg(F.count(F.lit(1)).alias("passages"), F.count_distinct(url).alias("documents"))
     out = labels.join(hits, "label", "left").crossJoin(F.broadcast(size))  # size is one row
