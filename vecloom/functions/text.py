@@ -164,7 +164,8 @@ ARTIFACTS = {
 # End of fixed values.
 
 ATOMIC = {"run of capitals": r"(?:\b[A-Z]{2,}+\b[ ,.]++){4,}+"}  # the same matches; Java takes stack for each word otherwise
-ASCII = {r"\s": r"[\t\n\f\r ]", r"\b": r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"}  # what Java has otherwise, also without (?U)
+# In order; what Java has otherwise, also without (?U). A \b stands before letters in the first two, after letters else.
+ASCII = {r"\s": r"[\t\n\f\r ]", r"\b[A-Z]": r"(?=[A-Z])(?<!\w)[A-Z]", r"\b(?:": r"(?<!\w)(?:", r"\b": r"(?!\w)"}
 
 
 def artifact_patterns(ascii: bool = False) -> dict[str, str]:
